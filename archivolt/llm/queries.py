@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.functions.ids import clean_id
-from archivolt.llm import chosen_path
+from archivolt.llm import chosen_path, mixing, tokenizer
 from archivolt.sources.tables import entries, table
 
 
@@ -20,5 +20,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.record_pairs(members, links)
 
 
-QUERIES = {"p4_found": p4_found}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.encode(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, sf_dir, "mix_targets")
+    counted = mixing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return mixing.mix(counted, targets), targets
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*_mixed(spark, sf_dir))
+
+
+QUERIES = {"p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 SQL: dict[str, str] = {}
