@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.functions.ids import clean_id
-from archivolt.llm import chosen_path, mixing, pieces, tokenizer
+from archivolt.llm import chosen_path, history, mixing, pieces, tokenizer
 from archivolt.sources.tables import entries, table
 
 
@@ -15,6 +15,14 @@ def _top_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(spark, sf_dir).where(clean_id("parent_id").isNull()).withColumn("id", clean_id("id"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.check_batches(entries(spark, sf_dir), table(spark, sf_dir, "batch_items")).where("case").select("item_id")
+
+
+def p1_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.verdicts(entries(spark, sf_dir), table(spark, sf_dir, "batch_items"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.resplit(entries(spark, sf_dir)).where("chunk_no = 0").select(F.col("parent_id").alias("entry_id"))
 
@@ -46,5 +54,5 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES = {"p1_found": p1_found, "p1_verdicts": p1_verdicts, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 SQL: dict[str, str] = {}
