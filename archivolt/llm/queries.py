@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.functions.ids import clean_id
-from archivolt.llm import chosen_path, history, mixing, pieces, tokenizer
+from archivolt.llm import block_join, chosen_path, history, mixing, pieces, tokenizer
 from archivolt.sources.tables import entries, table
 
 
@@ -36,6 +36,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.record_pairs(members, links)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = block_join.most_similar(table(spark, sf_dir, "semantic_cache"), k=10, least=0.9)
+    return near.select(F.least("key", "other").alias("qkey_a"), F.greatest("key", "other").alias("qkey_b")).distinct()
+
+
+def p5_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every 20th key (by its hash), whatever their cosine, against all keys."""
+    near = block_join.most_similar(table(spark, sf_dir, "semantic_cache"), k=10, queries="pmod(xxhash64(key), 20) = 0")
+    return near.select(F.col("key").alias("qkey"), F.col("other").alias("neighbour"), F.round("cosine", 6).alias("cosine"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode(table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
@@ -54,5 +65,5 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_verdicts": p1_verdicts, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES = {"p1_found": p1_found, "p1_verdicts": p1_verdicts, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_top10": p5_top10, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 SQL: dict[str, str] = {}
