@@ -191,11 +191,13 @@ def neighbours(vectors: DataFrame, k: int = 10, least: float = -1.0, margin: flo
                 )
 
     asked = vectors.select("key", "dim", "vec", (F.expr(queries) if queries else F.lit(True)).alias("asks"))
-    placed = materialize(asked.mapInArrow(place, f"key {kind}, dim int, vec binary, cell int, data boolean, asks boolean"), f"{base}/placed")
+    # placing twice is cheaper than writing every visit with its vector
+    placed = asked.mapInArrow(place, f"key {kind}, dim int, vec binary, cell int, data boolean, asks boolean")
     sizes = placed.groupBy("dim", "cell").agg(
         F.ceil(F.sum(F.col("data").cast("long")) / DATA_BLOCK).cast("int").alias("n_data"),
         F.ceil(F.sum(F.col("asks").cast("long")) / QUERY_BLOCK).cast("int").alias("n_asks"),
     )
+    sizes = materialize(sizes, f"{base}/sizes")
     # at most 1,024 cells for each vector length
     sized = placed.join(F.broadcast(sizes), ["dim", "cell"]).where("n_data > 0 and n_asks > 0")
     h = F.xxhash64("key", F.lit(1))
