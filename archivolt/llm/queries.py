@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.functions.ids import clean_id
-from archivolt.llm import block_join, chosen_path, history, mixing, pieces, tokenizer
+from archivolt.llm import block_join, chosen_path, history, mixing, pieces, subjects, tokenizer
 from archivolt.sources.tables import entries, table
 
 
@@ -65,5 +65,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*_mixed(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_verdicts": p1_verdicts, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_top10": p5_top10, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects(*[table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")])
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _areas(spark, sf_dir).select("doc_id", "area")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.composition(_areas(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_verdicts": p1_verdicts, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_top10": p5_top10, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
 SQL: dict[str, str] = {}
