@@ -54,14 +54,24 @@ def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def semi_join_sized(left: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of ``left`` whose ``key`` is in ``ids``.
-
-    ``ids`` is counted first; it is broadcast up to ``limit`` rows and joined by
-    a shuffle beyond.
-    """
+def _sized(keys: DataFrame, limit: int) -> DataFrame:
+    """``keys``, marked for broadcast when a count shows at most ``limit`` of them."""
     from pyspark.sql import functions as F
 
-    ids = ids.select(key)
-    small = ids.limit(limit + 1).count() <= limit
-    return left.join(F.broadcast(ids) if small else ids, key, "left_semi")
+    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
+
+
+def semi_join_sized(left: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``left`` whose ``key`` is in ``keys``; a broadcast up to ``limit`` keys, a shuffle beyond."""
+    return left.join(_sized(keys.select(key), limit), key, "left_semi")
+
+
+def anti_join_sized(left: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``left`` whose ``key`` isn't in ``keys``; a broadcast up to ``limit`` keys, a shuffle beyond."""
+    return left.join(_sized(keys.select(key), limit), key, "left_anti")
+
+
+def one_per_key(df: DataFrame, key: str, path: str) -> DataFrame:
+    """A row for each ``key``: only rows whose key occurs again are shuffled. ``path``: for the list of those keys."""
+    again = materialize(df.groupBy(key).count().where("count > 1").select(key), path)
+    return anti_join_sized(df, again, key).unionByName(semi_join_sized(df, again, key).dropDuplicates([key]))
