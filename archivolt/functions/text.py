@@ -40,3 +40,20 @@ def snippet(text: str, term: Column, before: int = 40, width: int = 160) -> Colu
     left = F.when(start > 1, "…").otherwise("")
     right = F.when(start + width - 1 < F.length(text), "…").otherwise("")
     return F.when(at > 0, F.concat(left, body, right))
+
+
+def grams(col: Column | str, n: int = 3) -> Column:
+    """All runs of ``n`` characters of the lower-case text with single blanks."""
+    flat = F.trim(F.regexp_replace(F.lower(F.translate(F.coalesce(col, F.lit("")), "İ", "i")), r"[ \t\r\n]+", " "))
+    return F.when(F.length(flat) >= n, F.transform(F.sequence(F.lit(1), F.length(flat) - (n - 1)), lambda i: F.substring(flat, i, F.lit(n)))).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def gram_bucket(gram: Column, dim: int) -> Column:
+    """Bucket of a run in a hashed vector."""
+    return F.pmod(F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+
+
+def gram_sign(gram: Column) -> Column:
+    return F.when(F.substring(F.md5(gram), 9, 1).isin("1", "3", "5", "7", "9", "b", "d", "f"), 1).otherwise(-1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from archivolt.functions import text as T
 from archivolt.functions.ids import clean_hash, clean_id
+from archivolt.functions.kinds import EXTENSIONS, extension, kind_of
 from archivolt.operators import catalog as C
 from archivolt.operators import search as R
 from archivolt.sources.tables import entries, table
@@ -460,3 +461,53 @@ def cache_eviction(spark, sf):
     k = table(spark, sf, "semantic_cache").groupBy("qkey").agg(F.max("created_at").alias("at"))
     oldest = k.count() // 10
     return k.orderBy(F.col("at").asc_nulls_first(), "qkey").limit(oldest).select("qkey")
+
+
+# --- kinds, hashed vectors, summaries -----------------------------------------------------------
+
+_KIND = " ".join(
+    "WHEN ext IN ({}) THEN '{}'".format(", ".join(f"'{e}'" for e in names.split()), "text" if kind == "office" else kind) for kind, names in EXTENSIONS.items()
+)
+
+
+@query(f"""WITH {_CAT}, e AS (SELECT id, lower(regexp_extract(coalesce(source_path, ''), '[^/.][^/]*?\\.([^./]*)$', 1)) AS ext FROM cat)
+SELECT id, ext, CASE {_KIND} ELSE 'binary' END AS kind FROM e""")
+def kind_by_extension(spark, sf):
+    ext = extension(F.coalesce("source_path", F.lit("")))
+    return _cat(spark, sf, "source_path").select("id", ext.alias("ext"), kind_of(ext).alias("kind"))
+
+
+@query("""WITH f AS (SELECT doc_id, trim(regexp_replace(lower(translate(coalesce(text, ''), 'İ', 'i')), '[ \\t\\r\\n]+', ' ', 'g'), ' ') AS t FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(generate_series(1, length(t) - 2), lambda i: substr(t, i, 3))) AS gram FROM f WHERE length(t) >= 3),
+h AS (SELECT doc_id, md5(gram) AS m, count(*) AS k FROM g GROUP BY 1, 2),
+b AS (SELECT doc_id, CAST(CAST('0x' || substr(m, 1, 8) AS BIGINT) % 512 AS INT) AS bucket,
+  sum(k * CASE WHEN substr(m, 9, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN 1 ELSE -1 END) AS w FROM h GROUP BY 1, 2)
+SELECT doc_id, bucket, CAST(w AS BIGINT) AS weight FROM b WHERE w <> 0""")
+def hash_embed_md5(spark, sf):
+    g = table(spark, sf, "documents").select("doc_id", F.explode(T.grams("text")).alias("gram"))
+    counted = g.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("k"))
+    signed = counted.select("doc_id", T.gram_bucket(F.col("gram"), 512).alias("bucket"), (F.col("k") * T.gram_sign(F.col("gram"))).alias("w"))
+    return signed.groupBy("doc_id", "bucket").agg(F.sum("w").alias("weight")).where("weight <> 0")
+
+
+@query(f"""WITH s AS (SELECT doc_id, unnest(list_zip(parts, range(len(parts)))) AS p FROM (SELECT doc_id, list_filter(list_transform(
+    regexp_extract_all(text, '([^.!?。！？；;\\n]+[.!?。！？；;]*)', 1), lambda x: trim(x, ' ')), lambda x: x <> '') AS parts FROM documents)),
+parts AS (SELECT doc_id, p[2] AS pos, p[1] AS s FROM s),
+t AS (SELECT doc_id, pos, unnest({_tokens('s')}) AS term FROM parts), f AS (SELECT doc_id, term, count(*) AS k FROM t GROUP BY 1, 2),
+scored AS (SELECT doc_id, pos, round(sum(k) / (sqrt(count(*)) + 1), 4) AS score FROM t JOIN f USING (doc_id, term) GROUP BY 1, 2),
+best AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos DESC) AS nth FROM scored) WHERE nth <= 4),
+run AS (SELECT doc_id, pos, s, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth
+  FROM best JOIN parts USING (doc_id, pos))
+SELECT doc_id, string_agg(s, '' ORDER BY pos) AS summary FROM run WHERE upto <= 400 OR nth = 1 GROUP BY 1""")
+def extractive_summary(spark, sf):
+    parts = table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("pos", "s"))
+    t = parts.select("doc_id", "pos", F.explode(T.tokens("s")).alias("term")).groupBy("doc_id", "pos", "term").agg(F.count(F.lit(1)).alias("n"))
+    f = t.groupBy("doc_id", "term").agg(F.sum("n").alias("k"))
+    score = F.round(F.sum(F.col("k") * F.col("n")) / (F.sqrt(F.sum("n")) + 1), 4)
+    scored = t.join(f, ["doc_id", "term"]).groupBy("doc_id", "pos").agg(score.alias("score"))
+    best = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), F.col("pos").desc())
+    chosen = scored.withColumn("nth", F.row_number().over(best)).where("nth <= 4").select("doc_id", "pos").join(parts, ["doc_id", "pos"])
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    run = chosen.withColumn("upto", F.sum(F.length("s")).over(order)).withColumn("nth", F.row_number().over(order)).where("upto <= 400 or nth = 1")
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"])
+    return run.groupBy("doc_id").agg(F.array_join(joined, "").alias("summary"))

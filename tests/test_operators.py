@@ -113,3 +113,23 @@ def test_streams_drain(spark, tmp_path):
     stream = Z.event_time(Z.table_stream(spark, str(tmp_path / "t"), "log"), "ts", "10 days").dropDuplicatesWithinWatermark(["ts", "query"])
     assert Z.drain(stream.select("ts", "query"), str(tmp_path / "o")).count() == 2
     assert at.year == 2025
+
+
+def test_kinds_and_files(spark, tmp_path):
+    from archivolt.functions.kinds import extension, kind_of
+    from archivolt.sources import files
+
+    names = spark.createDataFrame([("/a/x.PY",), ("/a/x.ts",), ("/a/.hidden",), ("/a/none",), ("/a/b.tar/y.docx",), ("/a/z.gguf",)], "p string")
+    assert [r[0] for r in names.select(kind_of(extension("p"))).collect()] == ["code", "video", "binary", "binary", "text", "model"]
+    for name, data in {
+        "n.md": "# 标题\n".encode(), "g.txt": ("汉字内容" * 50).encode("gb18030"), "t.ts": b"let x: number = 1;", "c.png": b"\x89PNG\r\n\x1a\n\0\0", "b.bin": b"\0\1\2" * 9,
+        ".git/config": b"x", "sub/p.pdf": b"%PDF-1.4 x", "sub/w.wav": b"RIFF\0\0\0\0WAVEfmt",
+    }.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    found = files.scan(spark, str(tmp_path))
+    kinds = {r.path.rsplit("/", 1)[1]: r.kind for r in found.collect()}
+    assert kinds == {"n.md": "text", "g.txt": "text", "t.ts": "code", "c.png": "image", "b.bin": "binary", "p.pdf": "pdf", "w.wav": "audio"}
+    text = {r.path.rsplit("/", 1)[1]: r.text for r in files.read_text(found).collect()}
+    assert text["n.md"] == "# 标题\n" and text["g.txt"].startswith("汉字") and text["c.png"] is None
+    assert files.changed(found, found.select("path", "size", "mtime")).count() == 0
