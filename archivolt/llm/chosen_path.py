@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from archivolt.llm import shingles as S
-from archivolt.session import materialize, scratch_dir, semi_join_sized
+from archivolt.session import materialize, one_per_key, scratch_dir, semi_join_sized
 
 SEED = 77
 
@@ -151,7 +151,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     named = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     sketched = materialize(S.sketch(named, ["id"], "text").withColumn("k", F.xxhash64("cls")).drop("cls", "runs"), f"{base}/sketch")
     members = sketched.groupBy("id").agg(F.min("k").alias("k"))
-    reps = materialize(sketched.dropDuplicates(["k"]), f"{base}/reps")
+    reps = one_per_key(sketched, "k", f"{base}/again")
     pairs = materialize(candidate_pairs(reps, base, threshold, recall), f"{base}/pairs")
 
     needed = pairs.select(F.col("k_a").alias("k")).union(pairs.select("k_b")).distinct()
