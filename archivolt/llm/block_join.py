@@ -30,24 +30,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivolt.session import BROADCAST_ROWS, materialize, scratch_dir
+from archivolt.session import anti_join_sized, materialize, scratch_dir
 
 SAMPLE = 16_384
 DATA_BLOCK, QUERY_BLOCK = 8_192, 32_768
 ROUNDS = 12
 
 
-def _anti_join_sized(left: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return left.join(F.broadcast(keys) if small else keys, key, "left_anti")
-
-
 def latest_vectors(df: DataFrame, key: str = "qkey", blob: str = "qvec_blob", at: str = "created_at", version: str = "data_version") -> DataFrame:
     """(key, blob) of the counting row of every key. Only keys that occur more than once are shuffled with their blobs."""
     rows = df.select(F.col(key).alias("key"), F.col(blob).alias("blob"), F.struct(F.col(at), F.col(version), F.col(blob)).alias("age")).where("key is not null")
     repeated = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     repeated = materialize(repeated, f"{scratch_dir(df.sparkSession)}/repeated")
-    once = _anti_join_sized(rows.select("key", "blob"), repeated, "key")
+    once = anti_join_sized(rows.select("key", "blob"), repeated, "key")
     many = rows.join(repeated, "key").groupBy("key").agg(F.max_by("blob", "age").alias("blob"))
     return once.unionByName(many)
 
@@ -253,7 +248,7 @@ def most_similar(df: DataFrame, k: int = 10, least: float = -1.0, margin: float
     few = materialize(few.select("cls", "key", "nth"), f"{base}/few")
     reps = few.where("nth = 1").select("cls", F.col("key").alias("rep"))
     others = materialize(members.join(reps, "cls").where("key <> rep").select("key"), f"{base}/others")
-    unique = _anti_join_sized(vectors.select("key", "dim", "vec"), others, "key")
+    unique = anti_join_sized(vectors.select("key", "dim", "vec"), others, "key")
 
     asks = None
     if queries:  # a class is searched for when any of its keys is
