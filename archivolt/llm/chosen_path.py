@@ -69,6 +69,7 @@ def _split(df: DataFrame, threshold: float, keep: list[str]) -> DataFrame:
 
 def _sized(rows: DataFrame, path: str, bucket: int, last: bool) -> tuple[DataFrame, dict]:
     """Rows (path, k, up) of nodes with company, with the node's size n and what becomes of it."""
+    rows = rows.repartition("path")  # one exchange for the count and the join: few paths repeat within a task
     sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     dense = F.lit(True) if last else F.col("n") * 2 > F.col("up")
     fate = F.when(F.col("n") <= bucket, 0).when(dense, 1).otherwise(2)
@@ -117,8 +118,8 @@ def candidate_pairs(
         big = sized.where("fate = 2").select("path", "k", F.col("n").alias("up"))
         rows = _split(big.join(reps.select("k", "sig"), "k"), threshold, ["k", "up"]).select("path", "k", "up")
 
-    longs = [f"s{i}" for i in range(S.SKETCH_LONGS)]
-    small = _union(ended).withColumn("part", F.lit(0)).withColumn("half", F.lit(False))
+    longs = reps.select("k", *[f"s{i}" for i in range(S.SKETCH_LONGS)])
+    members = _union(ended).join(longs, "k").withColumn("part", F.lit(0)).withColumn("half", F.lit(False))
     if dense:
         parts = F.ceil(F.col("n") / tile).cast("int")
         cut = _union(dense).withColumn("m", parts).withColumn("mine", F.pmod(F.xxhash64("k", "path"), parts).cast("int"))
@@ -129,8 +130,8 @@ def candidate_pairs(
             F.col("mine").alias("part"),
             (F.col("mine") != F.col("other")).alias("half"),
         )
-        small = small.unionByName(cut)
-    return _within(small.join(reps.select("k", *longs), "k"), S.sketch_limit(threshold))
+        members = members.unionByName(cut.join(longs, "k"))
+    return _within(members, S.sketch_limit(threshold))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
