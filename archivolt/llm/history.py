@@ -67,6 +67,8 @@ class History:
     base_runs: list[str] = field(default_factory=list)
     small_runs: list[str] = field(default_factory=list)
     written: int = 0
+    #: Bits of a key that split a range of the base run further: 4 files a range here, more for larger histories.
+    fine_bits: int = 2
 
     def rows(self, kind: str) -> DataFrame:
         paths = [*self.base_runs, *self.small_runs]
@@ -77,10 +79,11 @@ class History:
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(_RUN).option("basePath", f"{self.folder}/runs").parquet(*paths).drop("run")
 
-    def _write(self, rows: DataFrame) -> str:
+    def _write(self, rows: DataFrame, bits: int = 0) -> str:
         path = f"{self.folder}/runs/run={self.written}"
         self.written += 1
-        ordered = rows.repartition("kind", "range").sortWithinPartitions("kind", "range", "key", "runs")
+        fine = F.shiftrightunsigned("key", 60 - bits)
+        ordered = rows.repartition("kind", "range", fine).sortWithinPartitions("kind", "range", "key", "runs")
         ordered.write.option("compression", "zstd").partitionBy("kind", "range").parquet(path)
         return path
 
@@ -102,7 +105,7 @@ class History:
         held = held.withColumn("range", F.shiftrightunsigned("key", 60).cast("int"))
         rows = likeness.unionByName(hashes, allowMissingColumns=True).unionByName(held, allowMissingColumns=True)
         columns = [c.strip().split(" ")[0] for c in _RUN.split(",")]
-        (self.base_runs if base else self.small_runs).append(self._write(rows.select(*columns)))
+        (self.base_runs if base else self.small_runs).append(self._write(rows.select(*columns), self.fine_bits if base else 0))
 
     def compact(self) -> None:
         """Merge the small runs into one."""
@@ -231,7 +234,7 @@ def base_history(entries: DataFrame, folder: str) -> History:
     return history
 
 
-def check_batches(entries: DataFrame, batches: DataFrame, at_once: int = 4, compact_every: int = 2) -> DataFrame:
+def check_batches(entries: DataFrame, batches: DataFrame, at_once: int = 6, compact_every: int = 2) -> DataFrame:
     """(item_id, case, path, batch) of every item of ``batches``, taken in the order (batch_no, item_id).
 
     Up to ``at_once`` waiting batches are checked and appended in one pass; the
