@@ -142,7 +142,7 @@ def _loop_roots(ids: DataFrame, linked: DataFrame, n: int, base: str) -> DataFra
 def descendants(tree: DataFrame) -> DataFrame:
     """(ancestor, descendant, distance) for every pair on one path, from ``hierarchy(..., paths=True)``.
 
-    Nodes on or below loops have no pairs; they are reported by ``in_loop``.
+    Nodes on or below loops have no pairs here; ``all_descendants`` has theirs too.
     """
     steps = F.split("path", SEPARATOR)
     return (
@@ -151,3 +151,21 @@ def descendants(tree: DataFrame) -> DataFrame:
         .where("at < depth")
         .select("ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
     )
+
+
+def all_descendants(tree: DataFrame) -> DataFrame:
+    """(ancestor, descendant, distance) for every pair on any way up, also on and below loops, from ``hierarchy(...)``.
+
+    A loop is cut above its smallest id, so that its nodes and their branches
+    hang below that id; the nodes of the loop that a way up passes only after
+    the cut are added. No node is its own descendant; ``distance`` is the
+    smallest number of steps.
+    """
+    looped = tree.where("in_loop")
+    cut = materialize(hierarchy(looped.select("id", F.when(F.col("id") != F.col("root"), F.col("sup")).alias("sup")), superiors=("sup",)), f"{scratch_dir(tree.sparkSession)}/cut")
+    last = looped.where("id = root").select(F.col("sup").alias("id"))
+    rings = cut.join(last, "id").select("root", F.split("path", SEPARATOR).alias("ring"))
+    passed = cut.join(rings, "root").select(F.col("id").alias("descendant"), "depth", "path", F.size("ring").alias("n"), F.posexplode("ring").alias("at", "ancestor"))
+    passed = passed.where(~F.array_contains(F.split("path", SEPARATOR), F.col("ancestor")))
+    passed = passed.select("ancestor", "descendant", (F.col("depth") + F.col("n") - F.col("at")).alias("distance"))
+    return descendants(tree).unionByName(descendants(cut)).unionByName(passed)

@@ -20,9 +20,14 @@ def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs outside loops, as its SQL has them."""
     return H.descendants(H.hierarchy(entries(spark, sf_dir)))
 
 
+def p3_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.all_descendants(H.hierarchy(entries(spark, sf_dir)))
+
+
 _NODES = """
 WITH RECURSIVE nodes AS (
   SELECT lower(trim(id)) AS id, max(coalesce(nullif(lower(trim(parent_id)), ''), nullif(lower(trim(derived_from)), ''))) AS sup
@@ -51,5 +56,12 @@ UNION ALL SELECT id, root, NULL, NULL, true FROM loops""",
   SELECT id AS descendant, depth, unnest(string_split(path, '/')) AS ancestor, generate_subscripts(string_split(path, '/'), 1) - 1 AS pos
   FROM down WHERE depth > 0)
 SELECT ancestor, descendant, depth - pos AS distance FROM pairs WHERE pos < depth""",
+    "p3_all_descendants": _NODES
+    + """, walk AS (
+  SELECT sup AS ancestor, id AS descendant, 1::BIGINT AS distance, [id, sup] AS way FROM linked WHERE sup <> id
+  UNION ALL
+  SELECT l.sup, w.descendant, w.distance + 1, list_append(w.way, l.sup) FROM walk w JOIN linked l ON l.id = w.ancestor
+  WHERE NOT list_contains(w.way, l.sup))
+SELECT ancestor, descendant, distance FROM walk""",
 }
-QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants}
+QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_all_descendants": p3_all_descendants}

@@ -1,6 +1,6 @@
 import random
 
-from archivolt.operators.hierarchy import descendants, hierarchy
+from archivolt.operators.hierarchy import all_descendants, descendants, hierarchy
 
 SCHEMA = "id string, parent_id string, derived_from string, path string, root int"
 
@@ -54,3 +54,20 @@ def test_random_forest_with_loops_and_a_hot_parent(spark):
 
 def test_empty(spark):
     assert run(spark, []).count() == 0
+
+
+def test_all_descendants_on_and_below_loops(spark):
+    rng = random.Random(4)
+    rows = [("a", None, None), ("b", "a", None), ("s", "s", None), ("t", "s", None), ("y", "x", None), ("z", "y", None), ("x", "z", None), ("p", "z", None), ("q", "p", None)]
+    rows += [(f"n{i}", f"n{rng.randrange(60)}" if rng.random() < 0.8 else None, None) for i in range(60)]
+    sup, want = {i: p for i, p, _ in rows}, set()
+    for i in sup:
+        at, way = sup[i], []
+        while at in sup and at != i and at not in way:
+            way.append(at)
+            want.add((at, i, len(way)))
+            at = sup[at]
+    got = [(r.ancestor, r.descendant, r.distance) for r in all_descendants(run(spark, rows)).collect()]
+    assert {("s", "t", 1), ("p", "q", 1), ("z", "q", 2), ("x", "q", 4), ("x", "z", 2), ("z", "x", 1)} <= want
+    assert set(got) == want and len(got) == len(want)
+    assert all_descendants(run(spark, [])).count() == 0
