@@ -26,18 +26,28 @@ def stream_daily_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of each user and type over a sliding week, kept as state."""
+    """Events of each type over a sliding week, all users together, kept as state."""
     events = Z.event_time(Z.table_stream(spark, sf_dir, "events"), "ts", "1 day")
     week = events.groupBy(F.window("at", "7 days", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     week = week.select(F.date_format("window.start", "yyyy-MM-dd").alias("from_day"), "event_type", "n", "total")
     return Z.drain_latest(week, scratch_dir(spark), lambda snapshot: snapshot)
 
 
-QUERIES = {"stream_dedup": stream_dedup, "stream_daily_gaps": stream_daily_gaps, "stream_user_totals": stream_user_totals}
+def stream_each_user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each user and type over a sliding week, kept as state."""
+    events = Z.event_time(Z.table_stream(spark, sf_dir, "events"), "ts", "1 day")
+    week = events.groupBy(F.window("at", "7 days", "1 day"), "user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    week = week.select(F.date_format("window.start", "yyyy-MM-dd").alias("from_day"), "user_id", "event_type", "n", "total")
+    return Z.drain_latest(week, scratch_dir(spark), lambda snapshot: snapshot)
+
+
+QUERIES = {"stream_dedup": stream_dedup, "stream_daily_gaps": stream_daily_gaps, "stream_user_totals": stream_user_totals, "stream_each_user_totals": stream_each_user_totals}
 SQL = {
     "stream_dedup": "SELECT DISTINCT ts, query FROM query_log WHERE query IS NOT NULL AND try_cast(ts AS TIMESTAMP) IS NOT NULL",
     "stream_daily_gaps": """SELECT strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d') AS day, count(*) AS gaps FROM query_log
 WHERE trim(query) <> '' AND (n = 0 OR top_score < 0.012) GROUP BY 1""",
     "stream_user_totals": """SELECT strftime(d, '%Y-%m-%d') AS from_day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (
   SELECT event_type, value, unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS d FROM events) GROUP BY 1, 2""",
+    "stream_each_user_totals": """SELECT strftime(d, '%Y-%m-%d') AS from_day, user_id, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (
+  SELECT user_id, event_type, value, unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS d FROM events) GROUP BY 1, 2, 3""",
 }

@@ -115,6 +115,16 @@ def test_streams_drain(spark, tmp_path):
     assert at.year == 2025
 
 
+def test_stream_totals_of_each_user(spark, tmp_path):
+    from archivolt.plans.streams import stream_each_user_totals
+
+    at = dt.datetime(2025, 1, 8)
+    rows = [(1, at, 1, "view", 2.0), (2, at, 1, "view", 3.0), (3, at, 2, "view", 10.0), (4, at, 2, "click", 1.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "t" / "events.parquet"))
+    got = {(r.user_id, r.event_type): (r.n, r.total) for r in stream_each_user_totals(spark, str(tmp_path / "t")).where("from_day = '2025-01-08'").collect()}
+    assert got == {(1, "view"): (2, 5.0), (2, "view"): (1, 10.0), (2, "click"): (1, 1.0)}
+
+
 def test_kinds_and_files(spark, tmp_path):
     from archivolt.functions.kinds import extension, kind_of
     from archivolt.sources import files
