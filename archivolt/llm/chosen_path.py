@@ -9,7 +9,10 @@ on average at every level, dissimilar pairs part soon. Nodes of at most
 ``bucket`` members are compared in full, larger ones split again. A node that
 a split hardly shrinks holds sets that are alike: it is compared in full in
 tiles of bounded size, as is what ``max_depth`` leaves, so nothing is capped.
-Runs are independent; their number follows from the target recall.
+Runs are independent; their number follows from the target recall, half of
+whose losses fall to a first set of runs for ``start_depth`` + 1 levels. Members
+of nodes that were split beyond that get more runs, until a pair at the
+threshold meets the other half at the deepest level that was reached.
 
 Comparison is a self-join on the node with the distance of packed sketches in
 generated code; survivors are compared exactly on whole texts. Copies (equal
@@ -90,24 +93,16 @@ def _within(rows: DataFrame, limit: int) -> DataFrame:
     return a.join(b, on).select(F.col("a.k").alias("k_a"), F.col("b.k").alias("k_b")).distinct()
 
 
-def candidate_pairs(
-    reps: DataFrame,
-    base: str,
-    threshold: float,
-    recall: float = 0.995,
-    bucket: int = 64,
-    tile: int = 1024,
-    start_depth: int = 2,
-    max_depth: int = 8,
-) -> DataFrame:
-    """Pairs (k_a, k_b) of ``reps`` (k, sig, s*) whose sketches are near enough to be compared."""
-    runs = runs_for(threshold, recall, start_depth + 1)
-    rows = reps.select("k", "sig", F.explode(F.array(*[F.lit(r) for r in range(runs)])).alias("run"))
+def _levels(
+    reps: DataFrame, runs: range, base: str, threshold: float, bucket: int, start_depth: int, max_depth: int, covered: int
+) -> tuple[list[DataFrame], list[DataFrame], int, DataFrame | None]:
+    """Runs over ``reps``: small nodes and dense nodes by level, the deepest level, and what was split again at level ``covered``."""
+    rows = reps.select("k", "sig", F.explode(F.array(*[F.lit(r) for r in runs])).alias("run"))
     rows = rows.select("k", "sig", F.xxhash64(F.lit(SEED), "run").alias("path"))
     for _ in range(start_depth):
         rows = _split(rows, threshold, ["k"])
     rows = rows.select("path", "k", F.lit(1 << 62).alias("up"))
-    ended, dense = [], []
+    ended, dense, deeper = [], [], None
     for depth in range(start_depth, max_depth + 1):
         sized, seen = _sized(rows, f"{base}/level{depth}", bucket, depth == max_depth)
         ended.append(sized.where("fate = 0").select("path", "k"))
@@ -116,7 +111,32 @@ def candidate_pairs(
         if not seen["big"]:
             break
         big = sized.where("fate = 2").select("path", "k", F.col("n").alias("up"))
+        deeper = big if depth == covered else deeper
         rows = _split(big.join(reps.select("k", "sig"), "k"), threshold, ["k", "up"]).select("path", "k", "up")
+    return ended, dense, depth, deeper
+
+
+def candidate_pairs(
+    reps: DataFrame,
+    base: str,
+    threshold: float,
+    recall: float = 0.995,
+    bucket: int = 64,
+    tile: int = 1024,
+    start_depth: int = 2,
+    max_depth: int = 8,
+) -> DataFrame:
+    """Pairs (k_a, k_b) of ``reps`` (k, sig, s*) whose sketches are near enough to be compared."""
+    recall = (1 + recall) / 2
+    covered = start_depth + 1
+    done = runs_for(threshold, recall, covered)
+    ended, dense, deepest, deeper = _levels(reps, range(done), base, threshold, bucket, start_depth, max_depth, covered)
+    again = None
+    while (needed := runs_for(threshold, recall, max(deepest, covered))) > done:
+        if again is None:
+            again = materialize(reps.select("k", "sig").join(deeper.select("k").distinct(), "k", "left_semi"), f"{base}/deeper")
+        more, dense_too, depth, _ = _levels(again, range(done, needed), f"{base}/runs{done}", threshold, bucket, start_depth, max_depth, covered)
+        ended, dense, deepest, done = ended + more, dense + dense_too, max(deepest, depth), needed
 
     longs = reps.select("k", *[f"s{i}" for i in range(S.SKETCH_LONGS)])
     members = _union(ended).join(longs, "k").withColumn("part", F.lit(0)).withColumn("half", F.lit(False))

@@ -77,6 +77,22 @@ def test_dense_nodes_are_compared_in_tiles(spark):
     assert got == 60 * 59 // 2
 
 
+def test_recall_holds_where_nodes_are_split_deep(spark):
+    """Pairs at the threshold among sets that share many tokens, so that nodes are split to the deepest levels."""
+    import numpy as np
+
+    from archivolt.session import materialize, scratch_dir
+
+    rng = np.random.default_rng(6)
+    sig = rng.integers(0, 3, (4000, shingles.COORDS))
+    same = rng.random((2000, shingles.COORDS)).argsort(axis=1) < round(0.6 * shingles.COORDS)
+    sig[1::2] = np.where(same, sig[::2], (sig[::2] + rng.integers(1, 3, same.shape)) % 3)  # neighbours share 0.6 of their tokens
+    df = spark.createDataFrame([(k, s, 0, 0, 0, 0) for k, s in enumerate(sig.tolist())], "k bigint, sig array<smallint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    base = scratch_dir(spark)
+    got = chosen_path.candidate_pairs(materialize(df, f"{base}/r"), base, 0.6, bucket=8)
+    assert got.where("k_a % 2 = 0 and k_b = k_a + 1").count() >= 0.995 * 2000
+
+
 H = ["%064x" % i for i in range(400)]
 
 
