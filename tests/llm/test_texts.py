@@ -196,3 +196,20 @@ def test_subjects_held_out(spark):
     assert {r.area for r in subjects.subjects(d, given.limit(0), areas).collect()} <= {"software"}
     by_area = {r.area: r.docs for r in subjects.composition(subjects.subjects(d, given, areas), d).collect()}
     assert by_area["software"] == 1
+
+
+def test_subjects_of_a_small_language_beside_a_large_vocabulary(spark):
+    """More than 8,192 terms of the large language are more frequent than any of the small one."""
+    rng = random.Random(8)
+    word = lambda p, i: p + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    many = [word("en", i) for i in range(9000)] * 30
+    rng.shuffle(many)
+    docs = [(i, ". ".join(" ".join(many[i * 675 + k : i * 675 + k + 9]) for k in range(0, 675, 9)), "en") for i in range(400)]
+    for i in range(80):
+        own = [word("kw"[i % 2] * 2, k) for k in range(60)]
+        docs.append((1000 + i, ". ".join(" ".join(rng.sample(own, 3)) for _ in range(8)), "de"))
+    areas = spark.createDataFrame([("cooking",), ("weather",)], "area string")
+    labels = spark.createDataFrame([(1000 + i, ("cooking", "weather")[i % 2]) for i in range(40)], "doc_id bigint, area string")
+    got = subjects.subjects(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), labels, areas)
+    found = {(r.doc_id, r.area) for r in got.where("doc_id >= 1040").collect()}
+    assert found == {(1000 + i, ("cooking", "weather")[i % 2]) for i in range(40, 80)}
