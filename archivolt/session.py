@@ -71,6 +71,11 @@ def anti_join_sized(left: DataFrame, keys: DataFrame, key: str, limit: int = BRO
     return left.join(_sized(keys.select(key), limit), key, "left_anti")
 
 
+def join_sized(left: DataFrame, right: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join on ``key`` with a table of narrow rows; a broadcast up to ``limit`` of them, a shuffle beyond."""
+    return left.join(_sized(right, limit), key)
+
+
 def one_per_key(df: DataFrame, key: str, path: str) -> DataFrame:
     """A row for each ``key``: only rows whose key occurs again are shuffled. ``path``: for the list of those keys."""
     again = materialize(df.groupBy(key).count().where("count > 1").select(key), path)
