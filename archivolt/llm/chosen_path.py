@@ -2,22 +2,29 @@
 
 Every text is a set of tokens (its MinHash values by coordinate, so that the
 share of common tokens estimates the Jaccard similarity of the texts' runs).
-A run starts with all sets in one node. A node samples 1/threshold coordinates
-on average, the same for all its members, and every sampled coordinate sends a
-member to the child named by its token; pairs at the threshold share one child
-on average at every level, dissimilar pairs part soon. Nodes of at most
-``bucket`` members are compared in full, larger ones split again. A node that
-a split hardly shrinks holds sets that are alike: it is compared in full in
-tiles of bounded size, as is what ``max_depth`` leaves, so nothing is capped.
-Runs are independent; their number follows from the target recall, half of
-whose losses fall to a first set of runs for ``start_depth`` + 1 levels. Members
-of nodes that were split beyond that get more runs, until a pair at the
-threshold meets the other half at the deepest level that was reached.
-
-Comparison is a self-join on the node with the distance of packed sketches in
-generated code; survivors are compared exactly on whole texts. Copies (equal
+A run starts with all sets in one node. A node samples GROWTH/threshold
+coordinates on average, the same for all its members, and every sampled
+coordinate sends a member to the child named by its token; pairs at the
+threshold share GROWTH children on average at every level, dissimilar pairs
+part soon. As GROWTH is above one, the probability that a pair at the threshold
+still shares a node doesn't fall to zero with depth, so that the number of runs
+that reaches the target recall is the same at every depth and every size.
+Nodes of at most ``bucket`` members are compared in full, larger ones split
+again. A node that a split hardly shrinks holds sets that are alike: it is
+compared in full in tiles of bounded size, as is what ``max_depth`` leaves, so
+nothing is capped.
+
+Only the nodes above ``bucket`` are listed by level; the members of a level are
+derived from the sets again where they are needed, without an exchange. One
+exchange brings the members of small nodes and tiles together, whose sizes are
+bounded, so a node that holds a third of all sets never meets in one task. The
+join compares half of the packed sketch in generated code, the whole sketch
+follows, and survivors are compared exactly on whole texts. Copies (equal
 folded texts) form one class first, so a group of copies costs one member.
 
+``near_duplicates`` returns pairs of class representatives and the membership;
+``record_pairs`` expands them where all pairs of records are asked for.
+
 Defined results: null, empty and short texts (fewer than 200 letters and
 digits) are in no pair; rows of one id are one record, a record without id
 none; empty tables give empty results; other columns are ignored.
@@ -31,15 +38,22 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from archivolt.llm import shingles as S
-from archivolt.session import materialize, one_per_key, scratch_dir, semi_join_sized
+from archivolt.session import anti_join_sized, join_sized, materialize, scratch_dir, semi_join_sized
 
 SEED = 77
+#: Children that a pair at the threshold shares on average.
+GROWTH = 1.25
+
+
+def _branches(threshold: float) -> tuple[int, float]:
+    """Children of a node: the whole number and the probability of one more."""
+    mean = GROWTH / threshold
+    return math.floor(mean), mean - math.floor(mean)
 
 
 def survival(threshold: float, depth: int) -> float:
     """Probability that a pair at the threshold still shares a node after ``depth`` levels of one run."""
-    least = math.floor(1 / threshold)
-    more = 1 / threshold - least
+    least, more = _branches(threshold)
     gone = 0.0
     for _ in range(depth):
         part = 1 - threshold + threshold * gone
@@ -52,9 +66,8 @@ def runs_for(threshold: float, recall: float, depth: int) -> int:
 
 
 def _children(path: Column, threshold: float) -> Column:
-    """The coordinates that a node samples: floor(1/threshold), and one more with the rest's probability."""
-    least = math.floor(1 / threshold)
-    more = 1 / threshold - least
+    """The coordinates that a node samples."""
+    least, more = _branches(threshold)
     first = F.pmod(F.xxhash64(path, F.lit(1)), F.lit(S.COORDS)).cast("int")
     picks = [first]
     for j in range(least):  # a stride of odd length visits distinct coordinates
@@ -70,50 +83,19 @@ def _split(df: DataFrame, threshold: float, keep: list[str]) -> DataFrame:
     return out.select(*keep, "sig", F.xxhash64("path", "c", F.expr("sig[c]")).alias("path"))
 
 
-def _sized(rows: DataFrame, path: str, bucket: int, last: bool) -> tuple[DataFrame, dict]:
-    """Rows (path, k, up) of nodes with company, with the node's size n and what becomes of it."""
-    rows = rows.repartition("path")  # one exchange for the count and the join: few paths repeat within a task
-    sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def _large(rows: DataFrame, path: str, bucket: int, last: bool) -> tuple[DataFrame, dict]:
+    """(path, n, fate) of the nodes above ``bucket``: fate 1 is compared in tiles, 2 split again."""
+    sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("up").alias("up")).where(F.col("n") > bucket)
     dense = F.lit(True) if last else F.col("n") * 2 > F.col("up")
-    fate = F.when(F.col("n") <= bucket, 0).when(dense, 1).otherwise(2)
-    sized = rows.join(sizes, "path").select("path", "k", "n", fate.alias("fate"))
+    sizes = sizes.select("path", "n", F.when(dense, 1).otherwise(2).alias("fate"))
     seen = Observation()
-    out = materialize(sized.observe(seen, F.count(F.when(F.col("fate") == 1, 1)).alias("dense"), F.count(F.when(F.col("fate") == 2, 1)).alias("big")), path)
+    out = materialize(sizes.observe(seen, F.count(F.when(F.col("fate") == 1, 1)).alias("dense"), F.count(F.when(F.col("fate") == 2, 1)).alias("big")), path)
     return out, seen.get
 
 
-def _within(rows: DataFrame, limit: int) -> DataFrame:
-    """Distinct pairs (k_a, k_b) of rows (path, k, part, half, s*) in one node, within the sketch distance.
-
-    ``part`` is a row's side of a tile; in a tile of two parts only pairs across count.
-    """
-    a, b = rows.alias("a"), rows.alias("b")
-    across = ~F.col("a.half") | (F.col("a.part") != F.col("b.part"))
-    on = (F.col("a.path") == F.col("b.path")) & (F.col("a.k") < F.col("b.k")) & across & (S.sketch_distance("a", "b") <= limit)
-    return a.join(b, on).select(F.col("a.k").alias("k_a"), F.col("b.k").alias("k_b")).distinct()
-
-
-def _levels(
-    reps: DataFrame, runs: range, base: str, threshold: float, bucket: int, start_depth: int, max_depth: int, covered: int
-) -> tuple[list[DataFrame], list[DataFrame], int, DataFrame | None]:
-    """Runs over ``reps``: small nodes and dense nodes by level, the deepest level, and what was split again at level ``covered``."""
-    rows = reps.select("k", "sig", F.explode(F.array(*[F.lit(r) for r in runs])).alias("run"))
-    rows = rows.select("k", "sig", F.xxhash64(F.lit(SEED), "run").alias("path"))
-    for _ in range(start_depth):
-        rows = _split(rows, threshold, ["k"])
-    rows = rows.select("path", "k", F.lit(1 << 62).alias("up"))
-    ended, dense, deeper = [], [], None
-    for depth in range(start_depth, max_depth + 1):
-        sized, seen = _sized(rows, f"{base}/level{depth}", bucket, depth == max_depth)
-        ended.append(sized.where("fate = 0").select("path", "k"))
-        if seen["dense"]:
-            dense.append(sized.where("fate = 1").select("path", "k", "n"))
-        if not seen["big"]:
-            break
-        big = sized.where("fate = 2").select("path", "k", F.col("n").alias("up"))
-        deeper = big if depth == covered else deeper
-        rows = _split(big.join(reps.select("k", "sig"), "k"), threshold, ["k", "up"]).select("path", "k", "up")
-    return ended, dense, depth, deeper
+def start_level(n: int) -> int:
+    """Levels before sizes are looked at: one more for every hundredfold of the sets."""
+    return max(2, round((math.log10(max(n, 1)) - 1) / 2))
 
 
 def candidate_pairs(
@@ -123,35 +105,55 @@ def candidate_pairs(
     recall: float = 0.995,
     bucket: int = 64,
     tile: int = 1024,
-    start_depth: int = 2,
     max_depth: int = 8,
 ) -> DataFrame:
-    """Pairs (k_a, k_b) of ``reps`` (k, sig, s*) whose sketches are near enough to be compared."""
-    recall = (1 + recall) / 2
-    covered = start_depth + 1
-    done = runs_for(threshold, recall, covered)
-    ended, dense, deepest, deeper = _levels(reps, range(done), base, threshold, bucket, start_depth, max_depth, covered)
-    again = None
-    while (needed := runs_for(threshold, recall, max(deepest, covered))) > done:
-        if again is None:
-            again = materialize(reps.select("k", "sig").join(deeper.select("k").distinct(), "k", "left_semi"), f"{base}/deeper")
-        more, dense_too, depth, _ = _levels(again, range(done, needed), f"{base}/runs{done}", threshold, bucket, start_depth, max_depth, covered)
-        ended, dense, deepest, done = ended + more, dense + dense_too, max(deepest, depth), needed
-
-    longs = reps.select("k", *[f"s{i}" for i in range(S.SKETCH_LONGS)])
-    members = _union(ended).join(longs, "k").withColumn("part", F.lit(0)).withColumn("half", F.lit(False))
-    if dense:
+    """Pairs (k_a, k_b) of ``reps`` (k, sig, s*) whose half sketches are near enough to be compared."""
+    depth = min(start_level(reps.count()), max_depth)
+    own = ["k", "s0", "s1"]
+    runs = runs_for(threshold, recall, max_depth)
+    rows = reps.select(*own, "sig", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
+    rows = rows.select(*own, "sig", F.xxhash64(F.lit(SEED), "run").alias("path"))
+    for _ in range(depth):
+        rows = _split(rows, threshold, own)
+    rows = rows.withColumn("up", F.lit(1 << 62))
+    ended, tiles = [], []
+    while True:
+        large, seen = _large(rows, f"{base}/level{depth}", bucket, depth >= max_depth)
+        ended.append(anti_join_sized(rows, large, "path").select("path", *own))
+        if seen["dense"]:
+            tiles.append(join_sized(rows, large.where("fate = 1").select("path", "n"), "path").select("path", *own, "n"))
+        if not seen["big"]:
+            break
+        big = join_sized(rows.drop("up"), large.where("fate = 2").select("path", F.col("n").alias("up")), "path")
+        rows = _split(big, threshold, [*own, "up"])
+        depth += 1
+
+    members = _union(ended).withColumn("part", F.lit(0)).withColumn("half", F.lit(False))
+    if tiles:
         parts = F.ceil(F.col("n") / tile).cast("int")
-        cut = _union(dense).withColumn("m", parts).withColumn("mine", F.pmod(F.xxhash64("k", "path"), parts).cast("int"))
-        cut = cut.select("path", "k", "mine", F.explode(F.expr("sequence(0, m - 1)")).alias("other"))
-        cut = cut.select(
-            F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("path"),
-            "k",
-            F.col("mine").alias("part"),
-            (F.col("mine") != F.col("other")).alias("half"),
+        cut = _union(tiles).withColumn("m", parts).withColumn("mine", F.pmod(F.xxhash64("k", "path"), parts).cast("int"))
+        cut = cut.select("path", *own, "mine", F.explode(F.expr("sequence(0, m - 1)")).alias("other"))
+        members = members.unionByName(
+            cut.select(
+                F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("path"),
+                *own,
+                F.col("mine").alias("part"),
+                (F.col("mine") != F.col("other")).alias("half"),
+            )
         )
-        members = members.unionByName(cut.join(longs, "k"))
-    return _within(members, S.sketch_limit(threshold))
+    return _within(members, S.sketch_limit(threshold, longs=2))
+
+
+def _within(rows: DataFrame, limit: int) -> DataFrame:
+    """Distinct pairs (k_a, k_b) of rows (path, k, part, half, s*) in one node, within the sketch distance.
+
+    ``part`` is a row's side of a tile; in a tile of two parts only pairs across count.
+    """
+    rows = rows.repartition("path")  # both sides read one exchange
+    a, b = rows.alias("a"), rows.alias("b")
+    across = ~F.col("a.half") | (F.col("a.part") != F.col("b.part"))
+    on = (F.col("a.path") == F.col("b.path")) & (F.col("a.k") < F.col("b.k")) & across & (S.sketch_distance("a", "b", 2) <= limit)
+    return a.join(b, on).select(F.col("a.k").alias("k_a"), F.col("b.k").alias("k_b")).distinct()
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -167,21 +169,29 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     members: id, k - every record that can resemble another and its class of copies.
     links: k_a, k_b, similarity - pairs of different classes at or above the threshold.
     """
-    spark = df.sparkSession
-    base = scratch_dir(spark)
+    base = scratch_dir(df.sparkSession)
     named = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    sketched = materialize(S.sketch(named, ["id"], "text").withColumn("k", F.xxhash64("cls")).drop("cls", "runs"), f"{base}/sketch")
-    members = sketched.groupBy("id").agg(F.min("k").alias("k"))
-    reps = one_per_key(sketched, "k", f"{base}/again")
-    pairs = materialize(candidate_pairs(reps, base, threshold, recall), f"{base}/pairs")
+    # rows are numbered as they are written; a class is known by its first row
+    sketched = materialize(S.sketch(named, ["id"], "text").drop("runs").withColumn("row", F.monotonically_increasing_id()), f"{base}/sketch")
+    again = sketched.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("k")).where("n > 1").select("cls", "k")
+    again = materialize(again, f"{base}/again")
+    once = anti_join_sized(sketched, again, "cls").withColumn("k", F.col("row"))
+    more = join_sized(sketched, again, "cls")
+    members = once.select("id", "k").unionByName(more.select("id", "k")).groupBy("id").agg(F.min("k").alias("k"))
+    longs = [f"s{i}" for i in range(S.SKETCH_LONGS)]
+    reps = once.unionByName(more.where("k = row")).select("k", "id", "sig", *longs)
 
-    needed = pairs.select(F.col("k_a").alias("k")).union(pairs.select("k_b")).distinct()
-    chosen = materialize(reps.select("k", "id").join(needed, "k"), f"{base}/chosen")
-    texts = semi_join_sized(named, chosen, "id").join(chosen, "id").dropDuplicates(["k"]).select("k", "text")
-    a = texts.select(F.col("k").alias("k_a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("k").alias("k_b"), F.col("text").alias("text_b"))
-    scored = pairs.join(a, "k_a").join(b, "k_b").select("k_a", "k_b", S.similarity_udf("text_a", "text_b").alias("similarity"))
-    return members, materialize(scored.where(F.col("similarity") >= threshold), f"{base}/links")
+    pairs = materialize(candidate_pairs(reps, base, threshold, recall), f"{base}/pairs")
+    sides = [reps.select(F.col("k").alias(f"k_{x}"), F.col("id").alias(f"id_{x}"), *[F.col(s).alias(f"{s}_{x}") for s in longs]) for x in "ab"]
+    near = pairs.join(sides[0], "k_a").join(sides[1], "k_b")
+    near = near.where(S.sketch_distance(None, None, S.SKETCH_LONGS, ("_a", "_b")) <= S.sketch_limit(threshold))
+    near = materialize(near.select("k_a", "k_b", "id_a", "id_b"), f"{base}/near")
+    # the first text of a pair comes to the listed pairs within the scan, both meet in one exchange
+    first = join_sized(named.withColumnRenamed("id", "id_a").withColumnRenamed("text", "text_a"), near, "id_a")
+    second = semi_join_sized(named.withColumnRenamed("id", "id_b").withColumnRenamed("text", "text_b"), near.select("id_b").distinct(), "id_b")
+    both = first.select("k_a", "k_b", "id_b", "text_a").join(second, "id_b")
+    scored = both.select("k_a", "k_b", S.similarity_udf("text_a", "text_b").alias("similarity")).where(F.col("similarity") >= threshold)
+    return members, materialize(scored.groupBy("k_a", "k_b").agg(F.max("similarity").alias("similarity")), f"{base}/links")
 
 
 def record_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -117,21 +117,23 @@ def sketch(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.mapInArrow(work, f"{key_schema}, {SKETCH_SCHEMA}")
 
 
-def sketch_distance(a: str, b: str) -> Column:
-    """Coordinates whose two sketch bits differ, of ``a.s*`` and ``b.s*``."""
+def sketch_distance(a: str | None, b: str | None, longs: int = SKETCH_LONGS, ends: tuple[str, str] = ("", "")) -> Column:
+    """Coordinates whose two sketch bits differ, of ``a.s*`` and ``b.s*`` (or of ``s*`` with two endings)."""
     total = None
     odd = F.lit(0x5555555555555555)
-    for i in range(SKETCH_LONGS):
-        x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
+    names = [f"{side}." if side else "" for side in (a, b)]
+    for i in range(longs):
+        x = F.col(f"{names[0]}s{i}{ends[0]}").bitwiseXOR(F.col(f"{names[1]}s{i}{ends[1]}"))
         d = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(odd))
         total = d if total is None else total + d
     return total
 
 
-def sketch_limit(threshold: float, deviations: float = 4.0) -> int:
+def sketch_limit(threshold: float, deviations: float = 4.0, longs: int = SKETCH_LONGS) -> int:
     """Largest sketch distance of pairs at ``threshold``, but for ``deviations`` standard deviations."""
+    n = COORDS * longs // SKETCH_LONGS
     p = (1 - threshold) * 0.75
-    return int(COORDS * p + deviations * (COORDS * p * (1 - p)) ** 0.5)
+    return int(n * p + deviations * (n * p * (1 - p)) ** 0.5)
 
 
 def similarity(a: str, b: str) -> float:
