@@ -54,6 +54,36 @@ def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def save_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file to a shared folder: it appears whole or not at all."""
+    at, fs = _hadoop(spark, path)
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{at.getParent().toString()}/.{at.getName()}.part")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.rename(part, at)
+
+
+def load_text(spark: SparkSession, path: str) -> str:
+    at, fs = _hadoop(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a shared folder."""
+    at, fs = _hadoop(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
 def _sized(keys: DataFrame, limit: int) -> DataFrame:
     """``keys``, marked for broadcast when a count shows at most ``limit`` of them."""
     from pyspark.sql import functions as F
