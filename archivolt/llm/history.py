@@ -1,151 +1,270 @@
 """Deduplicating new batches against all history: multi-key sorted-neighbourhood runs.
 
-The history is a set of persisted runs below one folder. A run holds, for every
-class of equal folded texts, a row under each of its KEYS likeness keys (three
-MinHash values each), further a row for every content hash and for every text.
-Rows are partitioned by key range and sorted by key and text size. A batch is
-keyed the same way; its rows meet only the window of history rows with the same
-key, a similar size and a near sketch, in the ranges that the batch touches.
-What survives is compared exactly on whole texts. Accepted items become a small
-run of their own; every ``compact_every`` passes the small runs are merged into
-one. A pass of bounded size is broadcast to the ranges, so the history is
-neither shuffled nor sorted again; a larger one is joined by a shuffle.
-
-Within a pass the order of items decides. Copies are settled by class, never
-by pairs: of each class the earliest live item and the earliest under another
-path say whether an item has a predecessor. Rounds accept items without live
-predecessors and reject items with accepted ones until none is open.
-
-Defined results: rows of one item id are one item, an item without id is
-dropped; null, empty and short previews (fewer than 200 letters and digits)
-resemble nothing; a hash that isn't 64 hexadecimal digits in some notation is
-none; an empty or null path differs from every path; empty tables give empty
-results; other columns are ignored.
+A history is a folder of persisted runs and a manifest; ``History.open`` goes on
+with it in any later session. Every class of equal folded texts stands in a run
+under KEYS likeness keys. A key is the number of its sort order and four MinHash
+values, so that texts that resemble each other are neighbours in some order. A
+run is cut by sampled bounds into key ranges of even size, whatever is hot, and
+sorted within them; every BLOCK rows a row is a fence. Class rows (paths, whole
+sketch, text) and content hashes lie in ranges of their own.
+
+Checking a batch: its sorted keys are merged with the fences of the ranges that
+they fall into, which places every key in the sorted run, and are compared with
+the rows of the window around that place: its block and the two beside it.
+Survivors of the sketches are compared exactly on whole texts. Where more rows
+than the window share three MinHash values with a key (hot keys), the window
+stays bounded; only items that it doesn't show to be cases go on to the rest of
+the rows with these values. Items still open are compared with each other in
+the same way and settled in their order. Accepted items become a run of their
+own; after COMPACT_EVERY of them all runs but the first are merged into one.
+History is scanned by ranges but neither shuffled nor sorted again, and only
+ranges that the batch touches are read.
+
+Copies are settled by class, never by pairs: of each class the earliest live
+item and the earliest under another path say whether an item has a predecessor.
+Rounds accept items without live predecessors and reject items with accepted
+ones until none is open.
+
+A batch of more than SLICE items is checked in slices, in order; the result is
+the same for any number. Defined results: rows of one item id are one item, an
+item without id is dropped; null, empty and short previews (fewer than 200
+letters and digits) resemble nothing; a hash that isn't 64 hexadecimal digits in
+some notation is none; an empty or null path differs from every path; empty
+tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions.ids import clean_hash, clean_id, clean_path
 from archivolt.llm import shingles as S
-from archivolt.session import materialize, scratch_dir, semi_join_sized
+from archivolt.session import join_sized, list_folder, load_text, materialize, save_text, scratch_dir, semi_join_sized
 
-KEYS, KEY_ROWS = 20, 3
-RANGES = 16
+KEYS = 20
+BLOCK = 16
 THRESHOLD = 0.6
-#: Keyed rows of a batch (20 a text) that may be broadcast: at most 100 bytes each.
-BATCH_ROWS = 500_000
+COMPACT_EVERY = 4
+SLICE = 50_000
+#: Placed keys that may be broadcast: 64 bytes each.
+PLACED_ROWS = 1_000_000
 
+_HALF = ["s0", "s1"]
 _LONGS = [f"s{i}" for i in range(S.SKETCH_LONGS)]
-_RUN = "key bigint, runs int, cls binary, low string, high string, loose boolean, " + ", ".join(f"{x} bigint" for x in _LONGS) + ", hash string, text string, kind string, range int"
+_KEY_RUN = "key bigint, cls binary, runs int, s0 bigint, s1 bigint, block bigint, run int, zone int, fence boolean"
+_CLASS_RUN = "cls binary, low string, high string, loose boolean, runs int, sig array<smallint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint, text string, hash string, run int, kind string, range int"
+#: The sort orders use disjoint triples of MinHash values; a fourth value only orders.
+_KEY = (
+    "shiftleft(cast(j as bigint), 58) | shiftleft(cast(sig[3 * j] & 65535 as bigint), 42) | shiftleft(cast(sig[3 * j + 1] & 65535 as bigint), 26)"
+    " | shiftleft(cast(sig[3 * j + 2] & 65535 as bigint), 10) | cast(shiftrightunsigned(sig[60 + j] & 65535, 6) as bigint)"
+)
 
 
-def key_rows(df: DataFrame, keep: list[str]) -> DataFrame:
-    """A row (range, key, *keep) for each likeness key of rows with ``sig``."""
-    keys = [F.xxhash64(F.lit(j), *[F.expr(f"sig[{j * KEY_ROWS + i}]") for i in range(KEY_ROWS)]) for j in range(KEYS)]
-    out = df.select(*keep, F.explode(F.array(*keys)).alias("key"))
-    return out.withColumn("range", F.shiftrightunsigned("key", 60).cast("int"))
+def key_rows(df: DataFrame, *keep: str) -> DataFrame:
+    """A row (key, *keep) for each sort order of rows with ``sig``."""
+    return df.select(*keep, "sig", F.explode(F.sequence(F.lit(0), F.lit(KEYS - 1))).alias("j")).select(*keep, F.expr(_KEY).alias("key"))
 
 
-def _described(df: DataFrame, key: str, path: Column, digest: Column, text: str, extra: list[str]) -> DataFrame:
-    """One small row per record: key, path, hash, extra and, for texts that can resemble others, the sketch."""
-    base = df.select(F.col(key), path.alias("path"), digest.alias("hash"), *extra, F.col(text).alias("text"))
-    sketched = S.sketch(base, [key], "text")
-    return base.drop("text").dropDuplicates([key]).join(sketched.dropDuplicates([key]), key, "left")
+def _prefix(key: str | Column) -> Column:
+    """Sort order and three MinHash values of a key."""
+    return F.shiftrightunsigned(key, 10)
+
+
+def _near(a: Column, b: Column) -> Column:
+    return (a >= b * THRESHOLD) & (b >= a * THRESHOLD)
+
+
+def _alike_sketches() -> Column:
+    return _near(F.col("a.runs"), F.col("b.runs")) & (S.sketch_distance("a", "b", 2) <= S.sketch_limit(THRESHOLD, longs=2))
+
+
+def described(df: DataFrame, keys: list[str], path: str, digest: str, text: str) -> DataFrame:
+    """(keys, path, hash, text, cls, runs, sig, s*) of every row; rows that resemble nothing have no class."""
+    base = df.select(*keys, clean_path(path).alias("path"), clean_hash(digest).alias("hash"), F.col(text).alias("text"))
+    return S.sketch(base, [*keys, "path", "hash", "text"], "text", all_rows=True)
+
+
+@dataclass
+class Run:
+    number: int
+    #: Smallest key of each range.
+    lows: list[int]
 
 
 @dataclass
 class History:
-    """Persisted runs of everything accepted so far."""
+    """Persisted runs of everything accepted so far; ``runs`` is what the newest manifest lists."""
 
     spark: SparkSession
     folder: str
-    base_runs: list[str] = field(default_factory=list)
-    small_runs: list[str] = field(default_factory=list)
+    runs: list[Run] = field(default_factory=list)
     written: int = 0
-    #: Bits of a key that split a range of the base run further: 4 files a range here, more for larger histories.
-    fine_bits: int = 2
-
-    def rows(self, kind: str) -> DataFrame:
-        paths = [*self.base_runs, *self.small_runs]
-        if not paths:
-            return self.spark.createDataFrame([], _RUN)
-        return self._read(paths).where(F.col("kind") == kind)
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(_RUN).option("basePath", f"{self.folder}/runs").parquet(*paths).drop("run")
-
-    def _write(self, rows: DataFrame, bits: int = 0) -> str:
-        path = f"{self.folder}/runs/run={self.written}"
+    version: int = 0
+    #: Rows of a key range, and ranges of classes and hashes.
+    zone_rows: int = 100_000
+    ranges: int = 16
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> History:
+        """The history that earlier sessions left in ``folder``."""
+        newest = max((n for n in list_folder(spark, folder) if n.startswith("manifest-")), key=lambda n: int(n[9:-5]))
+        held = json.loads(load_text(spark, f"{folder}/{newest}"))
+        return cls(spark, folder, [Run(**r) for r in held.pop("runs")], **held)
+
+    def _commit(self, runs: list[Run]) -> None:
+        self.runs, self.version = runs, self.version + 1
+        held = {"runs": [asdict(r) for r in runs], "written": self.written, "version": self.version, "zone_rows": self.zone_rows, "ranges": self.ranges}
+        save_text(self.spark, f"{self.folder}/manifest-{self.version}.json", json.dumps(held))
+
+    def _paths(self, kind: str, runs: list[Run]) -> DataFrame:
+        schema = _KEY_RUN if kind == "keys" else _CLASS_RUN
+        if not runs:
+            return self.spark.createDataFrame([], schema)
+        base = f"{self.folder}/{kind}"
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/run={r.number}" for r in runs])
+
+    def keys(self) -> DataFrame:
+        return self._paths("keys", self.runs)
+
+    def rows(self, kind: str, touched: list[int] | None = None) -> DataFrame:
+        """Rows of ``class`` or ``hash``, of the touched ranges."""
+        out = self._paths("rows", self.runs).where(F.col("kind") == kind)
+        return out if touched is None else out.where(F.col("range").isin(touched))
+
+    def range_of(self, col: str) -> Column:
+        return F.pmod(F.xxhash64(col), F.lit(self.ranges)).cast("int")
+
+    def touched(self, keys: DataFrame, col: str, n: int) -> list[int] | None:
+        """The ranges that ``n`` keys fall into; None (all) where there are many keys for each range."""
+        if n > 8 * self.ranges:
+            return None
+        return [r[0] for r in keys.select(self.range_of(col)).distinct().collect()]
+
+    def _write(self, classes: DataFrame, hashes: DataFrame) -> Run:
+        """A run of classes (cls, low, high, loose, runs, sig, s*, text) and hashes (hash)."""
+        number = self.written
         self.written += 1
-        fine = F.shiftrightunsigned("key", 60 - bits)
-        ordered = rows.repartition("kind", "range", fine).sortWithinPartitions("kind", "range", "key", "runs")
-        ordered.write.option("compression", "zstd").partitionBy("kind", "range").parquet(path)
-        return path
-
-    def append(self, described: DataFrame, texts: DataFrame, base: bool = False) -> None:
-        """Add a run of the records (path, hash, cls, runs, sig, s*); ``texts`` holds (cls, text) of their classes."""
+        both = classes.withColumn("kind", F.lit("class")).withColumn("range", self.range_of("cls")).unionByName(
+            hashes.withColumn("kind", F.lit("hash")).withColumn("range", self.range_of("hash")), allowMissingColumns=True
+        )
+        path = f"{self.folder}/rows/run={number}"
+        both.repartition("kind", "range").write.option("compression", "zstd").partitionBy("kind", "range").parquet(path)
+        held = self.spark.read.schema(_CLASS_RUN.replace(", run int", "")).parquet(path).where("kind = 'class'")
+        keyed = key_rows(held, "cls", "runs", *_HALF)
+        zones = max(1, -(-held.count() * KEYS // self.zone_rows))
+        row = F.monotonically_increasing_id()
+        placed = keyed.repartitionByRange(zones, "key", "cls").sortWithinPartitions("key", "cls")
+        placed = placed.select(*keyed.columns, F.spark_partition_id().alias("zone"), row.alias("row"))
+        placed = placed.select(*keyed.columns, F.shiftrightunsigned("row", 4).alias("block"), "zone", (F.col("row") % BLOCK == 0).alias("fence"))
+        path = f"{self.folder}/keys/run={number}"
+        placed.write.option("compression", "zstd").partitionBy("zone", "fence").parquet(path)
+        lows = [-(1 << 63)]
+        if zones > 1:
+            fences = self.spark.read.schema(_KEY_RUN.replace(", run int", "")).parquet(path).where("fence")
+            found = dict(fences.groupBy("zone").agg(F.min("key")).collect())
+            for z in range(1, zones):
+                lows.append(found.get(z, lows[-1]))
+        return Run(number, lows)
+
+    def append(self, rows: DataFrame) -> None:
+        """Add a run of described rows."""
         paths = F.when(F.col("path").isNotNull(), F.col("path"))
-        classes = described.where("cls is not null").groupBy("cls").agg(
-            F.min(paths).alias("low"),
-            F.max(paths).alias("high"),
-            F.max(F.col("path").isNull()).alias("loose"),
-            F.first("runs").alias("runs"),
-            F.first("sig").alias("sig"),
-            *[F.first(x).alias(x) for x in _LONGS],
+        same = {c: F.first(c).alias(c) for c in ("runs", "sig", *_LONGS, "text")}
+        classes = rows.where("cls is not null").groupBy("cls").agg(
+            F.min(paths).alias("low"), F.max(paths).alias("high"), F.max(F.col("path").isNull()).alias("loose"), *same.values()
         )
-        likeness = key_rows(classes, ["cls", "runs", "low", "high", "loose", *_LONGS]).withColumn("kind", F.lit("likeness"))
-        hashes = described.where("hash is not null").select("hash").distinct().withColumn("key", F.xxhash64("hash"))
-        hashes = hashes.withColumn("range", F.shiftrightunsigned("key", 60).cast("int")).withColumn("kind", F.lit("hash"))
-        held = texts.select("cls", "text", F.xxhash64("cls").alias("key")).withColumn("kind", F.lit("text"))
-        held = held.withColumn("range", F.shiftrightunsigned("key", 60).cast("int"))
-        rows = likeness.unionByName(hashes, allowMissingColumns=True).unionByName(held, allowMissingColumns=True)
-        columns = [c.strip().split(" ")[0] for c in _RUN.split(",")]
-        (self.base_runs if base else self.small_runs).append(self._write(rows.select(*columns), self.fine_bits if base else 0))
+        hashes = rows.where("hash is not null").select("hash").distinct()
+        self._commit([*self.runs, self._write(classes, hashes)])
+        if len(self.runs) > COMPACT_EVERY:
+            self.compact()
 
     def compact(self) -> None:
-        """Merge the small runs into one."""
-        if len(self.small_runs) > 1:
-            merged = self._write(self._read(self.small_runs))
-            self.small_runs = [merged]
-
-
-def _near(a: Column, b: Column) -> Column:
-    return (a >= b * THRESHOLD) & (b >= a * THRESHOLD)
-
-
-def windows(batch: DataFrame, history: DataFrame, bounded: bool) -> DataFrame:
-    """Distinct (x, y): classes of the batch with classes in their windows, by keyed rows of both sides."""
-    a, b = batch.alias("a"), history.alias("b")
-    on = (
-        (F.col("a.range") == F.col("b.range"))
-        & (F.col("a.key") == F.col("b.key"))
-        & _near(F.col("a.runs"), F.col("b.runs"))
-        & (S.sketch_distance("a", "b") <= S.sketch_limit(THRESHOLD))
-    )
-    met = b.join(F.broadcast(a) if bounded else a, on)
-    return met.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct()
+        """Merge all runs but the first into one."""
+        first, *rest = self.runs
+        if len(rest) > 1:
+            held = self._paths("rows", rest)
+            same = {c: F.first(c).alias(c) for c in ("runs", "sig", *_LONGS, "text")}
+            classes = held.where("kind = 'class'").groupBy("cls").agg(
+                F.min("low").alias("low"), F.max("high").alias("high"), F.max("loose").alias("loose"), *same.values()
+            )
+            hashes = held.where("kind = 'hash'").select("hash").distinct()
+            self._commit([first, self._write(classes, hashes)])
+
+    def place(self, keyed: DataFrame) -> DataFrame:
+        """(run, block, wide, *columns) for keyed rows and every run: where a key stands in the sorted run.
+
+        ``wide``: rows beyond the window may share three MinHash values with the key.
+        """
+        runs = F.array(*[F.struct(F.lit(r.number).alias("run"), F.array(*[F.lit(x) for x in r.lows]).alias("lows")) for r in self.runs])
+        spread = keyed.select("*", F.explode(runs).alias("r"))
+        zone = F.greatest(F.lit(0), F.size(F.filter("r.lows", lambda x: x <= F.col("key"))) - 1)
+        probes = spread.select(*keyed.columns, F.col("r.run").alias("run"), zone.alias("zone"), F.lit(True).alias("probe"))
+        fences = self.keys().where("fence").select("run", "zone", "key", "block", F.col("key").alias("edge"), F.lit(False).alias("probe"))
+        both = probes.unionByName(fences, allowMissingColumns=True)
+        w = "over (partition by run, zone order by key, probe"
+        both = both.select(
+            *keyed.columns, "run", "zone", "probe",
+            F.expr(f"coalesce(last(block) ignore nulls {w} rows between unbounded preceding and current row), lead(block) ignore nulls {w}))").alias("block"),
+            F.expr(f"lag(edge, 2) ignore nulls {w})").alias("below"),
+            F.expr(f"lead(edge, 2) ignore nulls {w})").alias("above"),
+        )
+        at = _prefix("key")
+        wide = F.coalesce(_prefix("below") == at, F.lit(True)) | F.coalesce(_prefix("above") == at, F.lit(True))
+        return both.where("probe").select(*keyed.columns, "run", "block", wide.alias("wide"))
+
+    def zones(self, keyed: DataFrame, n: int) -> Column:
+        """A condition on key rows: the ranges that ``n`` keys may have in their windows."""
+        if n > 4 * sum(len(r.lows) for r in self.runs):
+            return F.lit(True)
+        runs = F.array(*[F.struct(F.lit(r.number).alias("run"), F.array(*[F.lit(x) for x in r.lows]).alias("lows")) for r in self.runs])
+        below = F.size(F.filter("r.lows", lambda x: _prefix(x) < _prefix("key"))) - 1
+        upto = F.size(F.filter("r.lows", lambda x: x <= F.col("key"))) - 1
+        spread = keyed.select("key", F.explode(runs).alias("r")).select("r.run", F.explode(F.sequence(F.greatest(F.lit(0), below), F.greatest(F.lit(0), upto))).alias("zone"))
+        hit: dict[int, list[int]] = {}
+        for r in spread.distinct().collect():
+            hit.setdefault(r.run, []).append(r.zone)
+        out = F.lit(False)
+        for run, zones in hit.items():
+            out = out | ((F.col("run") == run) & F.col("zone").isin(zones))
+        return out
+
+
+def _exact(pairs: DataFrame, xs: DataFrame, ys: DataFrame, *keep: str) -> DataFrame:
+    """(x, y, keep) of the pairs (x, y) whose texts reach the threshold; ys: (cls, text, s*, keep), xs: (cls, text, s*)."""
+    met = join_sized(ys.select(F.col("cls").alias("y"), F.col("text").alias("text_y"), *[F.col(s).alias(f"{s}_y") for s in _LONGS], *keep), pairs, "y")
+    both = met.join(xs.select(F.col("cls").alias("x"), F.col("text").alias("text_x"), *[F.col(s).alias(f"{s}_x") for s in _LONGS]), "x")
+    both = both.where(S.sketch_distance(None, None, S.SKETCH_LONGS, ("_x", "_y")) <= S.sketch_limit(THRESHOLD))
+    return both.where(S.similarity_udf("text_x", "text_y") >= THRESHOLD).select("x", "y", *keep)
+
+
+def _seen(history: History, pairs: DataFrame, n: int, xs: DataFrame) -> DataFrame:
+    """(cls, low, high, loose): the paths under which history holds what a class of the batch resembles."""
+    held = history.rows("class", history.touched(pairs, "y", n))
+    found = _exact(pairs, xs, held, "low", "high", "loose")
+    return found.groupBy(F.col("x").alias("cls")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("loose").alias("loose"))
+
+
+def _old() -> Column:
+    """Whether one of the paths (low, high, loose) is another than the item's own."""
+    other = F.col("loose") | F.col("path").isNull() | (F.col("low") != F.col("path")) | (F.col("high") != F.col("path"))
+    return F.coalesce(F.col("loose").isNotNull() & other, F.lit(False))
 
 
-def _alike(pairs: DataFrame, texts_x: DataFrame, texts_y: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose texts reach the threshold; a class resembles itself."""
-    differ = pairs.where("x <> y")
-    x = semi_join_sized(texts_x.withColumnRenamed("cls", "x"), differ.select("x").distinct(), "x").dropDuplicates(["x"])
-    y = semi_join_sized(texts_y.withColumnRenamed("cls", "y"), differ.select("y").distinct(), "y").dropDuplicates(["y"])
-    y = y.withColumnRenamed("text", "text_y")
-    scored = differ.join(x, "x").join(y, "y").withColumn("s", S.similarity_udf("text", "text_y"))
-    return scored.where(F.col("s") >= THRESHOLD).select("x", "y").unionByName(pairs.where("x = y"))
+def _counted(df: DataFrame, path: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    seen = Observation()
+    out = materialize(df.observe(seen, *[F.count(F.when(c, 1)).alias(n) for n, c in metrics.items()]), path)
+    return out, seen.get
 
 
 def _settle(items: DataFrame, links: DataFrame, folder: str) -> DataFrame:
-    """Adds ``case`` to items (ord, cls, path, hash, old): links are (x, y) of classes, both ways and to themselves."""
-    own = F.coalesce("path", F.concat(F.lit("\0"), F.col("ord").cast("string")))
-    state = items.select("ord", "cls", own.alias("path"), "hash", F.when(F.col("old"), "case").otherwise("open").alias("status"))
-    live, kept = F.when(F.col("status") != "case", F.col("ord")), F.when(F.col("status") == "kept", F.col("ord"))
+    """(item_id, case) of open items (item_id, cls, path, hash), in the order of ids; links are (x, y) of classes, both ways and to themselves."""
+    own = F.coalesce("path", F.concat(F.lit("\0"), F.col("item_id").cast("string")))
+    state = items.select("item_id", "cls", own.alias("path"), "hash", F.lit("open").alias("status"))
+    live, kept = F.when(F.col("status") != "case", F.col("item_id")), F.when(F.col("status") == "kept", F.col("item_id"))
     k = 0
     while True:
         by_path = state.where("cls is not null and status <> 'case'").groupBy("cls", "path").agg(F.min(live).alias("live"), F.min(kept).alias("kept"))
@@ -167,104 +286,119 @@ def _settle(items: DataFrame, links: DataFrame, folder: str) -> DataFrame:
         near = state.join(second.withColumnRenamed("x", "cls"), "cls", "left").join(by_hash, "hash", "left")
         near_live = F.when(F.col("live1.path") != F.col("path"), F.col("live1.live")).otherwise(F.col("live2"))
         near_kept = F.when(F.col("kept1.path") != F.col("path"), F.col("kept1.kept")).otherwise(F.col("kept2"))
+        me = F.col("item_id")
         status = (
             F.when(F.col("status") != "open", F.col("status"))
-            .when(F.coalesce(near_kept < F.col("ord"), F.lit(False)) | F.coalesce(F.col("h_kept") < F.col("ord"), F.lit(False)), "case")
-            .when(F.coalesce(near_live >= F.col("ord"), F.lit(True)) & F.coalesce(F.col("h_live") >= F.col("ord"), F.lit(True)), "kept")
+            .when(F.coalesce(near_kept < me, F.lit(False)) | F.coalesce(F.col("h_kept") < me, F.lit(False)), "case")
+            .when(F.coalesce(near_live >= me, F.lit(True)) & F.coalesce(F.col("h_live") >= me, F.lit(True)), "kept")
             .otherwise("open")
         )
-        seen_open = Observation()
-        state = near.select("ord", "cls", "path", "hash", status.alias("status"))
-        state = materialize(state.observe(seen_open, F.count(F.when(F.col("status") == "open", 1)).alias("open")), f"{folder}/settle{k}")
-        if not seen_open.get["open"]:
-            return items.join(state.select("ord", (F.col("status") == "case").alias("case")), "ord")
+        state, left = _counted(near.select("item_id", "cls", "path", "hash", status.alias("status")), f"{folder}/settle{k}", open=F.col("status") == "open")
+        if not left["open"]:
+            return state.select("item_id", (F.col("status") == "case").alias("case"))
         k += 1
 
 
-def check_batch(history: History, items: DataFrame, keyed: DataFrame, texts: DataFrame, folder: str, bounded: bool) -> DataFrame:
-    """items with ``case``, checked against ``history`` and each other; accepted ones are appended to the history.
-
-    items: (item_id, batch, ord, path, hash, cls, runs, sig, s*) of the waiting batches; keyed: their classes' key rows; texts: (cls, text).
-    """
-    mine = keyed.select("cls", "runs", "range", "key", *_LONGS)
-    before = history.rows("likeness").select("cls", "runs", "range", "key", *_LONGS)
-    met = materialize(windows(mine, before, bounded).withColumn("old", F.lit(True)).unionByName(
-        windows(mine, mine, bounded).where("x < y").withColumn("old", F.lit(False))), f"{folder}/met")
-    old = _alike(met.where("old").select("x", "y"), texts, history.rows("text").select("cls", "text"))
-    new = _alike(met.where("not old").select("x", "y"), texts, texts)
-    known = materialize(old.withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False))), f"{folder}/links")
-
-    old = known.where("old").select("x", "y")
-    paths = semi_join_sized(history.rows("likeness").select("cls", "low", "high", "loose"), old.select(F.col("y").alias("cls")).distinct(), "cls")
-    seen = (
-        old.join(paths.withColumnRenamed("cls", "y"), "y")
-        .groupBy("x")
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("loose").alias("loose"))
-        .withColumnRenamed("x", "cls")
-    )
-    hashes = semi_join_sized(history.rows("hash").select("hash"), items.where("hash is not null").select("hash").distinct(), "hash").distinct()
-    other = F.col("loose") | F.col("path").isNull() | (F.col("low") != F.col("path")) | (F.col("high") != F.col("path"))
-    judged = (
-        items.join(seen, "cls", "left")
-        .join(hashes.withColumn("known", F.lit(True)), "hash", "left")
-        .withColumn("old", F.coalesce(F.col("known"), F.lit(False)) | F.coalesce(F.col("loose").isNotNull() & other, F.lit(False)))
-        .select(*items.columns, "old")
-    )
-    judged = materialize(judged, f"{folder}/judged")
-    links = known.where("not old").select("x", "y")
-    classes = judged.where("cls is not null").select("cls").distinct()
-    links = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).unionByName(
-        classes.select(F.col("cls").alias("x"), F.col("cls").alias("y"))
-    )
-    out = _settle(judged, links, folder)
-    kept = out.where("not case")
-    history.append(kept, texts.join(kept.select("cls").distinct(), "cls").dropDuplicates(["cls"]))
-    return out.select("item_id", "case", "path", "batch")
+def _in_batch(open_items: DataFrame, xs: DataFrame, folder: str) -> DataFrame:
+    """(x, y) both ways: similar classes of the open items, by windows of the sorted keys and by equal MinHash triples."""
+    classes = open_items.where("cls is not null").select("cls").distinct()
+    keyed = materialize(key_rows(xs.join(classes, "cls"), "cls", "runs", *_HALF), f"{folder}/open_keys")
+    order = Window.partitionBy(F.shiftright("key", 58)).orderBy("key", "cls").rowsBetween(-BLOCK // 2, -1)
+    beside = keyed.withColumn("b", F.collect_list(F.struct("cls", "runs", *_HALF)).over(order))
+    beside = beside.select(F.struct("cls", "runs", *_HALF).alias("a"), F.explode("b").alias("b"))
+    by_place = beside.where(_alike_sketches()).select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"))
+    a, b = keyed.withColumn("key", _prefix("key")).alias("a"), keyed.withColumn("key", _prefix("key")).alias("b")
+    by_key = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & _alike_sketches())
+    met = by_place.unionByName(by_key.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"))).where("x <> y")
+    pairs = materialize(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), f"{folder}/open_pairs")
+    found = _exact(pairs, xs, xs)
+    return materialize(found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y"))), f"{folder}/links")
+
+
+def check(history: History, items: DataFrame) -> DataFrame:
+    """(item_id, case) of described items with unique ids, in the order of ids; accepted ones are added to the history."""
+    folder = f"{history.folder}/check{history.version}"
+    xs = items.where("cls is not null").select("cls", "runs", "sig", *_LONGS, "text").dropDuplicates(["cls"])
+    base = items.select("item_id", "cls", "path", "hash")
+    state = base.withColumn("old", F.lit(False))
+    wide = 0
+    if history.runs:
+        keyed = key_rows(xs, "cls", "runs", *_HALF)
+        placed, count = _counted(history.place(keyed), f"{folder}/placed", n=F.lit(True), wide=F.col("wide"))
+        if count["n"]:
+            within = history.zones(placed.select("key"), count["n"])
+            rows = history.keys().where(within).select("cls", "runs", *_HALF, "run", F.explode(F.array(*[F.col("block") + i for i in (-1, 0, 1)])).alias("block")).alias("b")
+            around = placed.select("cls", "runs", *_HALF, "run", "block").alias("a")
+            around = F.broadcast(around) if count["n"] <= PLACED_ROWS else around
+            met = rows.join(around, (F.col("a.run") == F.col("b.run")) & (F.col("a.block") == F.col("b.block")) & _alike_sketches())
+            pairs, n = _counted(met.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct(), f"{folder}/met", n=F.lit(True))
+            state = state.drop("old").join(_seen(history, pairs, n["n"], xs), "cls", "left").withColumn("old", _old()).select(*base.columns, "old")
+            state = state.join(placed.where("wide").select("cls").distinct().withColumn("wide", F.lit(True)), "cls", "left")
+            wide = count["wide"]
+        asked = items.where("hash is not null").select("hash").distinct()
+        known = semi_join_sized(history.rows("hash").select("hash"), asked, "hash").distinct().withColumn("known", F.lit(True))
+        state = state.join(known, "hash", "left").withColumn("old", F.col("old") | F.col("known").isNotNull())
+    state = state.select(*base.columns, "old", (F.col("wide").isNotNull() if wide else F.lit(False)).alias("wide"))
+    state, left = _counted(state, f"{folder}/judged", open=~F.col("old"), wide=F.col("wide") & ~F.col("old"))
+    if left["wide"]:  # hot keys: the rest of the rows beyond the window
+        rest = state.where("wide and not old").select("cls").distinct()
+        asking = placed.where("wide").join(rest, "cls").select("cls", "runs", *_HALF, "run", _prefix("key").alias("key"))
+        rows = history.keys().where(within).select("cls", "runs", *_HALF, "run", _prefix("key").alias("key"))
+        a, b = (F.broadcast(asking) if count["wide"] <= PLACED_ROWS else asking).alias("a"), rows.alias("b")
+        met = b.join(a, (F.col("a.run") == F.col("b.run")) & (F.col("a.key") == F.col("b.key")) & _alike_sketches())
+        pairs, n = _counted(met.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct(), f"{folder}/rest", n=F.lit(True))
+        again = state.join(_seen(history, pairs, n["n"], xs), "cls", "left").withColumn("old", F.col("old") | _old())
+        state, left = _counted(again.select(*base.columns, "old"), f"{folder}/rejudged", open=~F.col("old"))
+    out = state.select("item_id", F.col("old").alias("case"))
+    if left["open"]:
+        still = state.where("not old").select(*base.columns)
+        links = _in_batch(still, xs, folder)
+        shared = still.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("cls is not null and n > 1").select("cls")
+        classes = links.select(F.col("x").alias("cls")).unionByName(shared).distinct().withColumn("by_cls", F.lit(True))
+        hashes = still.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("hash is not null and n > 1").select("hash", F.lit(True).alias("by_hash"))
+        contested = still.join(classes, "cls", "left").join(hashes, "hash", "left").where("by_cls is not null or by_hash is not null")
+        contested, n = _counted(contested.select(*base.columns), f"{folder}/contested", n=F.lit(True))
+        if n["n"]:
+            own = contested.where("cls is not null").select(F.col("cls").alias("x"), F.col("cls").alias("y")).distinct()
+            settled = _settle(contested, links.unionByName(own), folder)
+            out = out.join(settled.withColumnRenamed("case", "late"), "item_id", "left").select("item_id", (F.col("case") | F.coalesce("late", F.lit(False))).alias("case"))
+    out = materialize(out, f"{history.folder}/results/check={history.version}")
+    history.append(items.join(out.where("not case").select("item_id"), "item_id"))
+    return out
 
 
 def base_history(entries: DataFrame, folder: str) -> History:
     """The history of a catalog: its entries without parent."""
-    tops = entries.where(clean_id("parent_id").isNull() & clean_id("id").isNotNull()).withColumn("id", clean_id("id"))
-    described = _described(tops, "id", clean_path("source_path"), clean_hash("content_hash"), "preview", [])
-    described = materialize(described, f"{folder}/entries")
-    reps = described.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"))
-    texts = tops.select("id", F.col("preview").alias("text")).join(reps, "id").dropDuplicates(["cls"]).select("cls", "text")
-    history = History(entries.sparkSession, folder)
-    history.append(described, texts, base=True)
+    tops = entries.where(clean_id("parent_id").isNull() & clean_id("id").isNotNull())
+    rows = materialize(described(tops, [], "source_path", "content_hash", "preview"), f"{folder}/entries")
+    n = rows.count()
+    history = History(entries.sparkSession, folder, zone_rows=max(100_000, n * KEYS // 2_000), ranges=max(16, n // 50_000))
+    history.append(rows)
     return history
 
 
-def check_batches(entries: DataFrame, batches: DataFrame, at_once: int = 6, compact_every: int = 2) -> DataFrame:
-    """(item_id, case, path, batch) of every item of ``batches``, taken in the order (batch_no, item_id).
-
-    Up to ``at_once`` waiting batches are checked and appended in one pass; the
-    result is the same for any number.
-    """
+def check_batches(entries: DataFrame, batches: DataFrame, slice_rows: int = SLICE) -> DataFrame:
+    """(item_id, case, path, batch) of every item of ``batches``, checked batch by batch in the order (batch_no, item_id)."""
     spark = entries.sparkSession
     folder = scratch_dir(spark)
     history = base_history(entries, folder)
-    items = batches.where("item_id is not null")
-    described = _described(items, "item_id", clean_path("source_path"), clean_hash("content_hash"), "preview", ["batch_no"])
-    described = described.withColumn("batch", F.coalesce("batch_no", F.lit(-(1 << 31)))).withColumn("ord", F.struct("batch_no", "item_id"))
-    described = materialize(described, f"{folder}/items", ["batch"])
-    reps = described.where("cls is not null").groupBy("batch", "cls").agg(F.min("item_id").alias("item_id"))
-    texts = items.select("item_id", F.col("preview").alias("text")).dropDuplicates(["item_id"]).join(reps, "item_id").select("batch", "cls", "text")
-    texts = materialize(texts, f"{folder}/texts", ["batch"])
-    firsts = described.where("cls is not null").dropDuplicates(["batch", "cls"])
-    keyed = materialize(key_rows(firsts, ["batch", "cls", "runs", *_LONGS]), f"{folder}/keyed", ["batch"])
-
-    out = None
-    sizes = described.groupBy("batch").count().orderBy("batch").collect()
-    for n, at in enumerate(range(0, len(sizes), at_once), 1):
-        group = sizes[at : at + at_once]
-        own = [x.where(F.col("batch").isin([b for b, _ in group])) for x in (described, keyed, texts)]
-        done = check_batch(history, *own, f"{folder}/pass{n}", sum(size for _, size in group) * KEYS <= BATCH_ROWS)
-        out = done if out is None else out.unionByName(done)
-        if n % compact_every == 0:
-            history.compact()
-    if out is None:
+    items = batches.where("item_id is not null").withColumn("batch", F.coalesce("batch_no", F.lit(-(1 << 31))))
+    first = items.groupBy("item_id").agg(F.min("batch").alias("first"))
+    items = described(items, ["item_id", "batch"], "source_path", "content_hash", "preview").join(first, "item_id")
+    items = items.where("batch = first").drop("first").dropDuplicates(["item_id"])
+    items = materialize(items, f"{folder}/items", ["batch"])
+    for batch, n in sorted(items.groupBy("batch").count().collect()):
+        mine = items.where(F.col("batch") == batch).drop("batch")
+        cuts = [None, None]
+        if n > slice_rows:
+            cuts = [None, *mine.approxQuantile("item_id", [i / -(-n // slice_rows) for i in range(1, -(-n // slice_rows))], 0.001), None]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            part = mine if low is None else mine.where(F.col("item_id") > int(low))
+            check(history, part if high is None else part.where(F.col("item_id") <= int(high)))
+    results = spark.read.schema("item_id bigint, case boolean").option("recursiveFileLookup", "true").parquet(f"{folder}/results") if history.version > 1 else None
+    if results is None:
         return spark.createDataFrame([], "item_id bigint, case boolean, path string, batch int")
-    return out
+    return items.select("item_id", "path", "batch").join(results, "item_id").select("item_id", "case", "path", "batch")
 
 
 def verdicts(entries: DataFrame, batches: DataFrame) -> DataFrame:

@@ -84,37 +84,47 @@ def _pack(sig: np.ndarray) -> np.ndarray:
 SKETCH_SCHEMA = "cls binary, runs int, sig array<smallint>, " + ", ".join(f"s{i} bigint" for i in range(SKETCH_LONGS))
 
 
-def sketch(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys + (cls, runs, sig, s0..) for every text that can resemble another.
+def sketch(df: DataFrame, keys: list[str], text: str, all_rows: bool = False) -> DataFrame:
+    """keys + (cls, runs, sig, s0..) for every text that can resemble another; with nulls for the rest if ``all_rows``.
 
     ``cls`` is the digest of the folded text (equal for copies), ``runs`` the
     number of its distinct runs, ``sig`` 16 bits of each MinHash value, ``s*``
-    the packed sketch.
+    the packed sketch. ``text`` may be among the keys.
     """
-    df = df.select(*keys, text).where(F.col(text).isNotNull())
+    if not all_rows:
+        df = df.where(F.col(text).isNotNull())
+    df = df.select(*dict.fromkeys([*keys, text]))
+    at_text = df.columns.index(text)
     names = [*keys, *(f.split()[0] for f in SKETCH_SCHEMA.split(", "))]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
-                folded = [fold(t) for t in b.column(len(keys)).to_pylist()]
+                folded = [fold(t) if t else "" for t in b.column(at_text).to_pylist()]
                 keep = [i for i, t in enumerate(folded) if len(t) >= MIN_CHARS]
-                if not keep:
+                if not keep and not all_rows:
                     continue
                 hashes = [run_hashes(folded[i]) for i in keep]
                 sig = signatures(hashes)
                 longs = _pack(sig)
                 low = (sig & np.uint32(0xFFFF)).astype(np.uint16).view(np.int16)
-                take = pa.array(keep)
                 cls = pa.array([hashlib.blake2b(folded[i].encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in keep], pa.binary())
                 runs = pa.array(np.array([len(np.unique(h)) for h in hashes], np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, low.size + 1, COORDS, dtype=np.int32)), pa.array(low.ravel()))
-                cols = [b.column(i).take(take) for i in range(len(keys))]
-                yield pa.RecordBatch.from_arrays([*cols, cls, runs, lists, *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(SKETCH_LONGS))], names=names)
-
-    key_schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.mapInArrow(work, f"{key_schema}, {SKETCH_SCHEMA}")
+                cols = [b.column(i) for i in range(len(keys))]
+                made = [cls, runs, lists, *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(SKETCH_LONGS))]
+                if all_rows:
+                    place = np.full(b.num_rows, -1)
+                    place[keep] = np.arange(len(keep))
+                    take = pa.array(place, mask=place < 0)
+                    made = [m.take(take) for m in made]
+                else:
+                    cols = [c.take(pa.array(keep)) for c in cols]
+                yield pa.RecordBatch.from_arrays([*cols, *made], names=names)
+
+    key_schema = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    return df.mapInArrow(work, f"{key_schema}{SKETCH_SCHEMA}")
 
 
 def sketch_distance(a: str | None, b: str | None, longs: int = SKETCH_LONGS, ends: tuple[str, str] = ("", "")) -> Column:

@@ -141,8 +141,8 @@ def test_history_against_item_by_item(spark):
     e = spark.createDataFrame([(*r, 1) for r in entries], "id string, parent_id string, source_path string, content_hash string, preview string, version int")
     b = spark.createDataFrame([(*r, "x") for r in items], "batch_no int, item_id bigint, source_path string, content_hash string, preview string, cls string")
     want = brute_cases(entries, items)
-    for at_once in (1, 3):
-        got = history.check_batches(e, b, at_once=at_once, compact_every=2).collect()
+    for slice_rows in (1000, 9):
+        got = history.check_batches(e, b, slice_rows=slice_rows).collect()
         assert {r.item_id for r in got if r.case} == want
         assert len(got) == len({r[1] for r in items})
     versions = {r.item_id: (r.is_case, r.version) for r in history.verdicts(e, b).collect()}
