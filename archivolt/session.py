@@ -46,8 +46,12 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet and read it back: lineage ends here and survives lost executors."""
-    writer = df.write.mode("overwrite").option("compression", "zstd")
+    """Write ``df`` as Parquet and read it back: lineage ends here and survives lost executors.
+
+    The folder is new and read by this session only, after the job; so tasks may
+    move their files into it themselves (a task that runs again writes the same names).
+    """
+    writer = df.write.mode("overwrite").option("compression", "zstd").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
