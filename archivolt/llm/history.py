@@ -43,14 +43,14 @@ from pyspark.sql import functions as F
 
 from archivolt.functions.ids import clean_hash, clean_id, clean_path
 from archivolt.llm import shingles as S
-from archivolt.session import join_sized, list_folder, load_text, materialize, save_text, scratch_dir, semi_join_sized
+from archivolt.session import BROADCAST_ROWS, list_folder, load_text, materialize, save_text, scratch_dir
 
 KEYS = 20
 BLOCK = 16
 THRESHOLD = 0.6
 COMPACT_EVERY = 4
 SLICE = 50_000
-#: Placed keys that may be broadcast: 64 bytes each.
+#: Placed keys that may be broadcast: 80 bytes each.
 PLACED_ROWS = 1_000_000
 
 _HALF = ["s0", "s1"]
@@ -152,10 +152,12 @@ class History:
             hashes.withColumn("kind", F.lit("hash")).withColumn("range", self.range_of("hash")), allowMissingColumns=True
         )
         path = f"{self.folder}/rows/run={number}"
-        both.repartition("kind", "range").write.option("compression", "zstd").partitionBy("kind", "range").parquet(path)
+        seen = Observation()
+        both = both.observe(seen, F.count("cls").alias("classes")).repartition("kind", "range")
+        both.write.option("compression", "zstd").partitionBy("kind", "range").parquet(path)
         held = self.spark.read.schema(_CLASS_RUN.replace(", run int", "")).parquet(path).where("kind = 'class'")
         keyed = key_rows(held, "cls", "runs", *_HALF)
-        zones = max(1, -(-held.count() * KEYS // self.zone_rows))
+        zones = max(1, -(-seen.get["classes"] * KEYS // self.zone_rows))
         row = F.monotonically_increasing_id()
         placed = keyed.repartitionByRange(zones, "key", "cls").sortWithinPartitions("key", "cls")
         placed = placed.select(*keyed.columns, F.spark_partition_id().alias("zone"), row.alias("row"))
@@ -201,19 +203,20 @@ class History:
         """
         runs = F.array(*[F.struct(F.lit(r.number).alias("run"), F.array(*[F.lit(x) for x in r.lows]).alias("lows")) for r in self.runs])
         spread = keyed.select("*", F.explode(runs).alias("r"))
-        zone = F.greatest(F.lit(0), F.size(F.filter("r.lows", lambda x: x <= F.col("key"))) - 1)
-        probes = spread.select(*keyed.columns, F.col("r.run").alias("run"), zone.alias("zone"), F.lit(True).alias("probe"))
+        spread = spread.withColumn("zone", F.greatest(F.lit(0), F.size(F.filter("r.lows", lambda x: x <= F.col("key"))) - 1))
+        at = _prefix("key")
+        crosses = ((F.col("zone") > 0) & (_prefix(F.expr("get(r.lows, zone)")) == at)) | F.coalesce(_prefix(F.expr("get(r.lows, zone + 1)")) == at, F.lit(False))
+        probes = spread.select(*keyed.columns, F.col("r.run").alias("run"), "zone", crosses.alias("crosses"), F.lit(True).alias("probe"))
         fences = self.keys().where("fence").select("run", "zone", "key", "block", F.col("key").alias("edge"), F.lit(False).alias("probe"))
         both = probes.unionByName(fences, allowMissingColumns=True)
         w = "over (partition by run, zone order by key, probe"
         both = both.select(
-            *keyed.columns, "run", "zone", "probe",
+            *keyed.columns, "run", "probe", "crosses",
             F.expr(f"coalesce(last(block) ignore nulls {w} rows between unbounded preceding and current row), lead(block) ignore nulls {w}))").alias("block"),
             F.expr(f"lag(edge, 2) ignore nulls {w})").alias("below"),
             F.expr(f"lead(edge, 2) ignore nulls {w})").alias("above"),
         )
-        at = _prefix("key")
-        wide = F.coalesce(_prefix("below") == at, F.lit(True)) | F.coalesce(_prefix("above") == at, F.lit(True))
+        wide = F.col("crosses") | F.coalesce(_prefix("below") == at, F.lit(False)) | F.coalesce(_prefix("above") == at, F.lit(False))
         return both.where("probe").select(*keyed.columns, "run", "block", wide.alias("wide"))
 
     def zones(self, keyed: DataFrame, n: int) -> Column:
@@ -233,9 +236,10 @@ class History:
         return out
 
 
-def _exact(pairs: DataFrame, xs: DataFrame, ys: DataFrame, *keep: str) -> DataFrame:
-    """(x, y, keep) of the pairs (x, y) whose texts reach the threshold; ys: (cls, text, s*, keep), xs: (cls, text, s*)."""
-    met = join_sized(ys.select(F.col("cls").alias("y"), F.col("text").alias("text_y"), *[F.col(s).alias(f"{s}_y") for s in _LONGS], *keep), pairs, "y")
+def _exact(pairs: DataFrame, n: int, xs: DataFrame, ys: DataFrame, *keep: str) -> DataFrame:
+    """(x, y, keep) of the ``n`` pairs (x, y) whose texts reach the threshold; ys: (cls, text, s*, keep), xs: (cls, text, s*)."""
+    pairs = F.broadcast(pairs) if n <= BROADCAST_ROWS else pairs
+    met = ys.select(F.col("cls").alias("y"), F.col("text").alias("text_y"), *[F.col(s).alias(f"{s}_y") for s in _LONGS], *keep).join(pairs, "y")
     both = met.join(xs.select(F.col("cls").alias("x"), F.col("text").alias("text_x"), *[F.col(s).alias(f"{s}_x") for s in _LONGS]), "x")
     both = both.where(S.sketch_distance(None, None, S.SKETCH_LONGS, ("_x", "_y")) <= S.sketch_limit(THRESHOLD))
     return both.where(S.similarity_udf("text_x", "text_y") >= THRESHOLD).select("x", "y", *keep)
@@ -244,7 +248,7 @@ def _exact(pairs: DataFrame, xs: DataFrame, ys: DataFrame, *keep: str) -> DataFr
 def _seen(history: History, pairs: DataFrame, n: int, xs: DataFrame) -> DataFrame:
     """(cls, low, high, loose): the paths under which history holds what a class of the batch resembles."""
     held = history.rows("class", history.touched(pairs, "y", n))
-    found = _exact(pairs, xs, held, "low", "high", "loose")
+    found = _exact(pairs, n, xs, held, "low", "high", "loose")
     return found.groupBy(F.col("x").alias("cls")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("loose").alias("loose"))
 
 
@@ -302,7 +306,7 @@ def _settle(items: DataFrame, links: DataFrame, folder: str) -> DataFrame:
 def _in_batch(open_items: DataFrame, xs: DataFrame, folder: str) -> DataFrame:
     """(x, y) both ways: similar classes of the open items, by windows of the sorted keys and by equal MinHash triples."""
     classes = open_items.where("cls is not null").select("cls").distinct()
-    keyed = materialize(key_rows(xs.join(classes, "cls"), "cls", "runs", *_HALF), f"{folder}/open_keys")
+    keyed = key_rows(xs.join(classes, "cls"), "cls", "runs", *_HALF)
     order = Window.partitionBy(F.shiftright("key", 58)).orderBy("key", "cls").rowsBetween(-BLOCK // 2, -1)
     beside = keyed.withColumn("b", F.collect_list(F.struct("cls", "runs", *_HALF)).over(order))
     beside = beside.select(F.struct("cls", "runs", *_HALF).alias("a"), F.explode("b").alias("b"))
@@ -310,15 +314,17 @@ def _in_batch(open_items: DataFrame, xs: DataFrame, folder: str) -> DataFrame:
     a, b = keyed.withColumn("key", _prefix("key")).alias("a"), keyed.withColumn("key", _prefix("key")).alias("b")
     by_key = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & _alike_sketches())
     met = by_place.unionByName(by_key.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"))).where("x <> y")
-    pairs = materialize(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), f"{folder}/open_pairs")
-    found = _exact(pairs, xs, xs)
+    pairs, n = _counted(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), f"{folder}/open_pairs", n=F.lit(True))
+    if not n["n"]:
+        return pairs
+    found = _exact(pairs, n["n"], xs, xs)
     return materialize(found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y"))), f"{folder}/links")
 
 
 def check(history: History, items: DataFrame) -> DataFrame:
-    """(item_id, case) of described items with unique ids, in the order of ids; accepted ones are added to the history."""
+    """(item_id, case) of a slice of ``arrivals``, in the order of ids; accepted items are added to the history."""
     folder = f"{history.folder}/check{history.version}"
-    xs = items.where("cls is not null").select("cls", "runs", "sig", *_LONGS, "text").dropDuplicates(["cls"])
+    xs = items.where("lead").select("cls", "runs", "sig", *_LONGS, "text")
     base = items.select("item_id", "cls", "path", "hash")
     state = base.withColumn("old", F.lit(False))
     wide = 0
@@ -335,8 +341,8 @@ def check(history: History, items: DataFrame) -> DataFrame:
             state = state.drop("old").join(_seen(history, pairs, n["n"], xs), "cls", "left").withColumn("old", _old()).select(*base.columns, "old")
             state = state.join(placed.where("wide").select("cls").distinct().withColumn("wide", F.lit(True)), "cls", "left")
             wide = count["wide"]
-        asked = items.where("hash is not null").select("hash").distinct()
-        known = semi_join_sized(history.rows("hash").select("hash"), asked, "hash").distinct().withColumn("known", F.lit(True))
+        asked = items.where("hash is not null").select("hash")  # of one slice: a bounded number
+        known = history.rows("hash").select("hash").join(F.broadcast(asked), "hash", "left_semi").distinct().withColumn("known", F.lit(True))
         state = state.join(known, "hash", "left").withColumn("old", F.col("old") | F.col("known").isNotNull())
     state = state.select(*base.columns, "old", (F.col("wide").isNotNull() if wide else F.lit(False)).alias("wide"))
     state, left = _counted(state, f"{folder}/judged", open=~F.col("old"), wide=F.col("wide") & ~F.col("old"))
@@ -353,15 +359,9 @@ def check(history: History, items: DataFrame) -> DataFrame:
     if left["open"]:
         still = state.where("not old").select(*base.columns)
         links = _in_batch(still, xs, folder)
-        shared = still.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("cls is not null and n > 1").select("cls")
-        classes = links.select(F.col("x").alias("cls")).unionByName(shared).distinct().withColumn("by_cls", F.lit(True))
-        hashes = still.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("hash is not null and n > 1").select("hash", F.lit(True).alias("by_hash"))
-        contested = still.join(classes, "cls", "left").join(hashes, "hash", "left").where("by_cls is not null or by_hash is not null")
-        contested, n = _counted(contested.select(*base.columns), f"{folder}/contested", n=F.lit(True))
-        if n["n"]:
-            own = contested.where("cls is not null").select(F.col("cls").alias("x"), F.col("cls").alias("y")).distinct()
-            settled = _settle(contested, links.unionByName(own), folder)
-            out = out.join(settled.withColumnRenamed("case", "late"), "item_id", "left").select("item_id", (F.col("case") | F.coalesce("late", F.lit(False))).alias("case"))
+        own = still.where("cls is not null").select(F.col("cls").alias("x"), F.col("cls").alias("y")).distinct()
+        settled = _settle(still, links.unionByName(own), folder)
+        out = out.join(settled.withColumnRenamed("case", "late"), "item_id", "left").select("item_id", (F.col("case") | F.coalesce("late", F.lit(False))).alias("case"))
     out = materialize(out, f"{history.folder}/results/check={history.version}")
     history.append(items.join(out.where("not case").select("item_id"), "item_id"))
     return out
@@ -372,32 +372,40 @@ def base_history(entries: DataFrame, folder: str) -> History:
     tops = entries.where(clean_id("parent_id").isNull() & clean_id("id").isNotNull())
     rows = materialize(described(tops, [], "source_path", "content_hash", "preview"), f"{folder}/entries")
     n = rows.count()
-    history = History(entries.sparkSession, folder, zone_rows=max(100_000, n * KEYS // 2_000), ranges=max(16, n // 50_000))
+    history = History(entries.sparkSession, folder, zone_rows=max(100_000, n * KEYS // 2_000), ranges=max(4, n // 50_000))
     history.append(rows)
     return history
 
 
+def arrivals(batches: DataFrame, slice_rows: int = SLICE) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """Described items with their batch, slice and ``lead`` (one item of each class of a slice); the slices in order."""
+    items = batches.where("item_id is not null").withColumn("batch", F.coalesce("batch_no", F.lit(-(1 << 31))))
+    first = items.groupBy("item_id").agg(F.min("batch").alias("batch"))
+    part = F.lit(0)
+    for batch, n in first.groupBy("batch").count().where(F.col("count") > slice_rows).collect():
+        parts = -(-n // slice_rows)
+        for cut in first.where(F.col("batch") == batch).approxQuantile("item_id", [i / parts for i in range(1, parts)], 0.001):
+            part = part + F.when((F.col("batch") == batch) & (F.col("item_id") > int(cut)), 1).otherwise(0)
+    rows = described(items, ["item_id", "batch"], "source_path", "content_hash", "preview")
+    rows = rows.join(first.withColumnRenamed("batch", "first"), "item_id").where("batch = first").drop("first").dropDuplicates(["item_id"])
+    rows = rows.withColumn("slice", part)
+    same = Window.partitionBy("batch", "slice", "cls")
+    rows = rows.withColumn("lead", F.col("cls").isNotNull() & (F.min("item_id").over(same) == F.col("item_id")))
+    rows = materialize(rows.repartition("batch", "slice"), f"{scratch_dir(batches.sparkSession)}/items", ["batch", "slice"])  # a file for each slice
+    return rows, sorted((r.batch, r.slice) for r in rows.select("batch", "slice").distinct().collect())
+
+
 def check_batches(entries: DataFrame, batches: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     """(item_id, case, path, batch) of every item of ``batches``, checked batch by batch in the order (batch_no, item_id)."""
     spark = entries.sparkSession
     folder = scratch_dir(spark)
     history = base_history(entries, folder)
-    items = batches.where("item_id is not null").withColumn("batch", F.coalesce("batch_no", F.lit(-(1 << 31))))
-    first = items.groupBy("item_id").agg(F.min("batch").alias("first"))
-    items = described(items, ["item_id", "batch"], "source_path", "content_hash", "preview").join(first, "item_id")
-    items = items.where("batch = first").drop("first").dropDuplicates(["item_id"])
-    items = materialize(items, f"{folder}/items", ["batch"])
-    for batch, n in sorted(items.groupBy("batch").count().collect()):
-        mine = items.where(F.col("batch") == batch).drop("batch")
-        cuts = [None, None]
-        if n > slice_rows:
-            cuts = [None, *mine.approxQuantile("item_id", [i / -(-n // slice_rows) for i in range(1, -(-n // slice_rows))], 0.001), None]
-        for low, high in zip(cuts, cuts[1:], strict=False):
-            part = mine if low is None else mine.where(F.col("item_id") > int(low))
-            check(history, part if high is None else part.where(F.col("item_id") <= int(high)))
-    results = spark.read.schema("item_id bigint, case boolean").option("recursiveFileLookup", "true").parquet(f"{folder}/results") if history.version > 1 else None
-    if results is None:
+    items, slices = arrivals(batches, slice_rows)
+    for batch, part in slices:
+        check(history, items.where((F.col("batch") == batch) & (F.col("slice") == part)))
+    if not slices:
         return spark.createDataFrame([], "item_id bigint, case boolean, path string, batch int")
+    results = spark.read.schema("item_id bigint, case boolean").option("recursiveFileLookup", "true").parquet(f"{folder}/results")
     return items.select("item_id", "path", "batch").join(results, "item_id").select("item_id", "case", "path", "batch")
 
 
