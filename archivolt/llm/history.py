@@ -14,7 +14,7 @@ the rows of the window around that place: its block and the two beside it.
 Survivors of the sketches are compared exactly on whole texts. Where more rows
 than the window share three MinHash values with a key (hot keys), the window
 stays bounded; only items that it doesn't show to be cases go on to the rest of
-the rows with these values. Items still open are compared with each other in
+the rows with these values. The items of a batch are compared with each other in
 the same way and settled in their order. Accepted items become a run of their
 own; after COMPACT_EVERY of them all runs but the first are merged into one.
 History is scanned by ranges but neither shuffled nor sorted again, and only
@@ -38,6 +38,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +53,8 @@ COMPACT_EVERY = 4
 SLICE = 50_000
 #: Placed keys that may be broadcast: 80 bytes each.
 PLACED_ROWS = 1_000_000
+#: Links between classes of a slice with which one task settles it.
+GREEDY_LINKS = 1_000_000
 
 _HALF = ["s0", "s1"]
 _LONGS = [f"s{i}" for i in range(S.SKETCH_LONGS)]
@@ -236,26 +239,13 @@ class History:
         return out
 
 
-def _exact(pairs: DataFrame, n: int, xs: DataFrame, ys: DataFrame, *keep: str) -> DataFrame:
-    """(x, y, keep) of the ``n`` pairs (x, y) whose texts reach the threshold; ys: (cls, text, s*, keep), xs: (cls, text, s*)."""
+def _exact(pairs: DataFrame, n: int, xs: DataFrame, ys: DataFrame) -> DataFrame:
+    """The ``n`` pairs (x, y, old) whose texts reach the threshold, with low, high, loose of y; ys: (cls, old, text, s*, low, high, loose)."""
     pairs = F.broadcast(pairs) if n <= BROADCAST_ROWS else pairs
-    met = ys.select(F.col("cls").alias("y"), F.col("text").alias("text_y"), *[F.col(s).alias(f"{s}_y") for s in _LONGS], *keep).join(pairs, "y")
-    both = met.join(xs.select(F.col("cls").alias("x"), F.col("text").alias("text_x"), *[F.col(s).alias(f"{s}_x") for s in _LONGS]), "x")
+    met = ys.select(F.col("cls").alias("y"), "old", F.col("text").alias("text_y"), *[F.col(s).alias(f"{s}_y") for s in _LONGS], "low", "high", "loose")
+    both = met.join(pairs, ["y", "old"]).join(xs.select(F.col("cls").alias("x"), F.col("text").alias("text_x"), *[F.col(s).alias(f"{s}_x") for s in _LONGS]), "x")
     both = both.where(S.sketch_distance(None, None, S.SKETCH_LONGS, ("_x", "_y")) <= S.sketch_limit(THRESHOLD))
-    return both.where(S.similarity_udf("text_x", "text_y") >= THRESHOLD).select("x", "y", *keep)
-
-
-def _seen(history: History, pairs: DataFrame, n: int, xs: DataFrame) -> DataFrame:
-    """(cls, low, high, loose): the paths under which history holds what a class of the batch resembles."""
-    held = history.rows("class", history.touched(pairs, "y", n))
-    found = _exact(pairs, n, xs, held, "low", "high", "loose")
-    return found.groupBy(F.col("x").alias("cls")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("loose").alias("loose"))
-
-
-def _old() -> Column:
-    """Whether one of the paths (low, high, loose) is another than the item's own."""
-    other = F.col("loose") | F.col("path").isNull() | (F.col("low") != F.col("path")) | (F.col("high") != F.col("path"))
-    return F.coalesce(F.col("loose").isNotNull() & other, F.lit(False))
+    return both.where(S.similarity_udf("text_x", "text_y") >= THRESHOLD).select("x", "y", "old", "low", "high", "loose")
 
 
 def _counted(df: DataFrame, path: str, **metrics: Column) -> tuple[DataFrame, dict]:
@@ -264,6 +254,24 @@ def _counted(df: DataFrame, path: str, **metrics: Column) -> tuple[DataFrame, di
     return out, seen.get
 
 
+def _greedy(group: pa.Table) -> pa.Table:
+    """(item_id, case) of one slice's items (item_id, cls, path, hash, old, near), in the order of ids."""
+    kept: dict[bytes, set] = {}
+    hashes, case = set(), {}
+    for r in sorted(group.to_pylist(), key=lambda r: r["item_id"]):
+        mine = r["path"]
+        found = r["old"] or (r["hash"] is not None and r["hash"] in hashes)
+        if not found and r["cls"] is not None:
+            found = any(mine is None or p is None or p != mine for y in (r["cls"], *(r["near"] or ())) for p in kept.get(y, ()))
+        case[r["item_id"]] = found
+        if not found:
+            hashes.add(r["hash"])
+            paths = kept.setdefault(r["cls"], set())
+            if len(paths) < 2 or None not in paths:  # two paths, or none, show another one to any path
+                paths.add(mine)
+    return pa.table({"item_id": pa.array(case.keys(), pa.int64()), "case": pa.array(case.values(), pa.bool_())})
+
+
 def _settle(items: DataFrame, links: DataFrame, folder: str) -> DataFrame:
     """(item_id, case) of open items (item_id, cls, path, hash), in the order of ids; links are (x, y) of classes, both ways and to themselves."""
     own = F.coalesce("path", F.concat(F.lit("\0"), F.col("item_id").cast("string")))
@@ -303,65 +311,78 @@ def _settle(items: DataFrame, links: DataFrame, folder: str) -> DataFrame:
         k += 1
 
 
-def _in_batch(open_items: DataFrame, xs: DataFrame, folder: str) -> DataFrame:
-    """(x, y) both ways: similar classes of the open items, by windows of the sorted keys and by equal MinHash triples."""
-    classes = open_items.where("cls is not null").select("cls").distinct()
-    keyed = key_rows(xs.join(classes, "cls"), "cls", "runs", *_HALF)
+def _in_batch(keyed: DataFrame) -> DataFrame:
+    """(x, y) of classes of a slice that meet: in windows of the sorted keys, or under equal MinHash triples."""
     order = Window.partitionBy(F.shiftright("key", 58)).orderBy("key", "cls").rowsBetween(-BLOCK // 2, -1)
     beside = keyed.withColumn("b", F.collect_list(F.struct("cls", "runs", *_HALF)).over(order))
     beside = beside.select(F.struct("cls", "runs", *_HALF).alias("a"), F.explode("b").alias("b"))
-    by_place = beside.where(_alike_sketches()).select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"))
+    by_place = beside.where(_alike_sketches() & (F.col("a.cls") != F.col("b.cls")))
     a, b = keyed.withColumn("key", _prefix("key")).alias("a"), keyed.withColumn("key", _prefix("key")).alias("b")
     by_key = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & _alike_sketches())
-    met = by_place.unionByName(by_key.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y"))).where("x <> y")
-    pairs, n = _counted(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), f"{folder}/open_pairs", n=F.lit(True))
-    if not n["n"]:
-        return pairs
-    found = _exact(pairs, n["n"], xs, xs)
-    return materialize(found.unionByName(found.select(F.col("y").alias("x"), F.col("x").alias("y"))), f"{folder}/links")
+    x, y = F.col("a.cls").alias("x"), F.col("b.cls").alias("y")
+    met = by_place.select(x, y).unionByName(by_key.select(x, y))
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
 
+def check(history: History, items: DataFrame, greedy_links: int = GREEDY_LINKS) -> DataFrame:
+    """(item_id, case) of a slice of ``arrivals``, in the order of ids; accepted items are added to the history.
 
-def check(history: History, items: DataFrame) -> DataFrame:
-    """(item_id, case) of a slice of ``arrivals``, in the order of ids; accepted items are added to the history."""
+    Up to ``greedy_links`` links between the classes of a slice its items are settled one after the other in one
+    task (a slice is bounded), beyond that in rounds; the result is the same.
+    """
     folder = f"{history.folder}/check{history.version}"
     xs = items.where("lead").select("cls", "runs", "sig", *_LONGS, "text")
-    base = items.select("item_id", "cls", "path", "hash")
-    state = base.withColumn("old", F.lit(False))
+    n = xs.count()
+    keyed = key_rows(xs, "cls", "runs", *_HALF)
+    x, y = F.col("a.cls").alias("x"), F.col("b.cls").alias("y")
+    met = _in_batch(keyed).withColumn("old", F.lit(False))
     wide = 0
-    if history.runs:
-        keyed = key_rows(xs, "cls", "runs", *_HALF)
-        placed, count = _counted(history.place(keyed), f"{folder}/placed", n=F.lit(True), wide=F.col("wide"))
-        if count["n"]:
-            within = history.zones(placed.select("key"), count["n"])
-            rows = history.keys().where(within).select("cls", "runs", *_HALF, "run", F.explode(F.array(*[F.col("block") + i for i in (-1, 0, 1)])).alias("block")).alias("b")
-            around = placed.select("cls", "runs", *_HALF, "run", "block").alias("a")
-            around = F.broadcast(around) if count["n"] <= PLACED_ROWS else around
-            met = rows.join(around, (F.col("a.run") == F.col("b.run")) & (F.col("a.block") == F.col("b.block")) & _alike_sketches())
-            pairs, n = _counted(met.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct(), f"{folder}/met", n=F.lit(True))
-            state = state.drop("old").join(_seen(history, pairs, n["n"], xs), "cls", "left").withColumn("old", _old()).select(*base.columns, "old")
-            state = state.join(placed.where("wide").select("cls").distinct().withColumn("wide", F.lit(True)), "cls", "left")
-            wide = count["wide"]
-        asked = items.where("hash is not null").select("hash")  # of one slice: a bounded number
-        known = history.rows("hash").select("hash").join(F.broadcast(asked), "hash", "left_semi").distinct().withColumn("known", F.lit(True))
-        state = state.join(known, "hash", "left").withColumn("old", F.col("old") | F.col("known").isNotNull())
-    state = state.select(*base.columns, "old", (F.col("wide").isNotNull() if wide else F.lit(False)).alias("wide"))
-    state, left = _counted(state, f"{folder}/judged", open=~F.col("old"), wide=F.col("wide") & ~F.col("old"))
-    if left["wide"]:  # hot keys: the rest of the rows beyond the window
-        rest = state.where("wide and not old").select("cls").distinct()
-        asking = placed.where("wide").join(rest, "cls").select("cls", "runs", *_HALF, "run", _prefix("key").alias("key"))
-        rows = history.keys().where(within).select("cls", "runs", *_HALF, "run", _prefix("key").alias("key"))
-        a, b = (F.broadcast(asking) if count["wide"] <= PLACED_ROWS else asking).alias("a"), rows.alias("b")
-        met = b.join(a, (F.col("a.run") == F.col("b.run")) & (F.col("a.key") == F.col("b.key")) & _alike_sketches())
-        pairs, n = _counted(met.select(F.col("a.cls").alias("x"), F.col("b.cls").alias("y")).distinct(), f"{folder}/rest", n=F.lit(True))
-        again = state.join(_seen(history, pairs, n["n"], xs), "cls", "left").withColumn("old", F.col("old") | _old())
-        state, left = _counted(again.select(*base.columns, "old"), f"{folder}/rejudged", open=~F.col("old"))
-    out = state.select("item_id", F.col("old").alias("case"))
-    if left["open"]:
+    if history.runs and n:
+        within = history.zones(keyed.select("key"), n * KEYS)
+        rows = history.keys().where(within)
+        placed, count = _counted(history.place(keyed), f"{folder}/placed", wide=F.col("wide"))
+        wide = count["wide"]
+        blocks = rows.select("cls", "runs", *_HALF, "run", F.explode(F.array(*[F.col("block") + i for i in (-1, 0, 1)])).alias("block")).alias("b")
+        around = placed.select("cls", "runs", *_HALF, "run", "block").alias("a")
+        around = F.broadcast(around) if n * KEYS * len(history.runs) <= PLACED_ROWS else around
+        seen = blocks.join(around, (F.col("a.run") == F.col("b.run")) & (F.col("a.block") == F.col("b.block")) & _alike_sketches())
+        met = met.unionByName(seen.select(x, y).withColumn("old", F.lit(True)))
+
+    def linked(pairs: DataFrame, name: str) -> tuple[DataFrame, dict]:
+        pairs, got = _counted(pairs.distinct(), f"{folder}/{name}", n=F.lit(True), old=F.col("old"))
+        held = history.rows("class", history.touched(pairs.where("old"), "y", got["old"])).select("cls", F.lit(True).alias("old"), "text", *_LONGS, "low", "high", "loose")
+        none = F.lit(None).cast("string")
+        own = xs.select("cls", F.lit(False).alias("old"), "text", *_LONGS, none.alias("low"), none.alias("high"), F.lit(None).cast("boolean").alias("loose"))
+        return _counted(_exact(pairs, got["n"], xs, held.unionByName(own)), f"{folder}/{name}_links", new=~F.col("old"))
+
+    links, got = linked(met, "met")
+    if wide:  # hot keys: the rest of the rows beyond the window, for classes that the window doesn't show to be cases
+        shown = links.where("old").groupBy("x").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("loose").alias("loose"))
+        shown = shown.where("loose or low <> high").select(F.col("x").alias("cls"))
+        asking = key_rows(xs.join(placed.where("wide").select("cls").distinct(), "cls").join(shown, "cls", "left_anti"), "cls", "runs", *_HALF)
+        asking = asking.withColumn("key", _prefix("key"))
+        asking = (F.broadcast(asking) if n * KEYS <= PLACED_ROWS else asking).alias("a")
+        rest = rows.select("cls", "runs", *_HALF, _prefix("key").alias("key")).alias("b").join(asking, (F.col("a.key") == F.col("b.key")) & _alike_sketches())
+        more, _ = linked(rest.select(x, y).withColumn("old", F.lit(True)), "rest")
+        links = links.unionByName(more)
+
+    base = items.select("item_id", "cls", "path", "hash")
+    shown = links.where("old").groupBy(F.col("x").alias("cls")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("loose").alias("loose"))
+    other = F.col("loose") | F.col("path").isNull() | (F.col("low") != F.col("path")) | (F.col("high") != F.col("path"))
+    asked = items.where("hash is not null").select("hash")  # of one slice: a bounded number
+    known = history.rows("hash").select("hash").join(F.broadcast(asked), "hash", "left_semi").distinct().withColumn("known", F.lit(True))
+    old = F.col("known").isNotNull() | F.coalesce(F.col("loose").isNotNull() & other, F.lit(False))
+    state = base.join(shown, "cls", "left").join(known, "hash", "left").select(*base.columns, old.alias("old"))
+    new = links.where("not old").select("x", "y")
+    both = new.unionByName(new.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    if got["new"] <= greedy_links:
+        near = both.groupBy(F.col("x").alias("cls")).agg(F.collect_list("y").alias("near"))
+        out = state.join(near, "cls", "left").withColumn("slice", F.lit(0)).groupBy("slice").applyInArrow(_greedy, "item_id bigint, case boolean")
+    else:
+        state = materialize(state, f"{folder}/state")
         still = state.where("not old").select(*base.columns)
-        links = _in_batch(still, xs, folder)
         own = still.where("cls is not null").select(F.col("cls").alias("x"), F.col("cls").alias("y")).distinct()
-        settled = _settle(still, links.unionByName(own), folder)
-        out = out.join(settled.withColumnRenamed("case", "late"), "item_id", "left").select("item_id", (F.col("case") | F.coalesce("late", F.lit(False))).alias("case"))
+        out = _settle(still, both.unionByName(own), folder).unionByName(state.where("old").select("item_id", F.lit(True).alias("case")))
     out = materialize(out, f"{history.folder}/results/check={history.version}")
     history.append(items.join(out.where("not case").select("item_id"), "item_id"))
     return out
@@ -395,14 +416,14 @@ def arrivals(batches: DataFrame, slice_rows: int = SLICE) -> tuple[DataFrame, li
     return rows, sorted((r.batch, r.slice) for r in rows.select("batch", "slice").distinct().collect())
 
 
-def check_batches(entries: DataFrame, batches: DataFrame, slice_rows: int = SLICE) -> DataFrame:
+def check_batches(entries: DataFrame, batches: DataFrame, slice_rows: int = SLICE, greedy_links: int = GREEDY_LINKS) -> DataFrame:
     """(item_id, case, path, batch) of every item of ``batches``, checked batch by batch in the order (batch_no, item_id)."""
     spark = entries.sparkSession
     folder = scratch_dir(spark)
     history = base_history(entries, folder)
     items, slices = arrivals(batches, slice_rows)
     for batch, part in slices:
-        check(history, items.where((F.col("batch") == batch) & (F.col("slice") == part)))
+        check(history, items.where((F.col("batch") == batch) & (F.col("slice") == part)), greedy_links)
     if not slices:
         return spark.createDataFrame([], "item_id bigint, case boolean, path string, batch int")
     results = spark.read.schema("item_id bigint, case boolean").option("recursiveFileLookup", "true").parquet(f"{folder}/results")
