@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions.ids import clean_hash, clean_id, clean_path
+from archivolt.session import anti_join_sized, materialize, scratch_dir, semi_join_sized
 
 #: What each access level may see (None: everything), and the order of visibilities.
 LEVELS: dict[str, tuple[str, ...] | None] = {"admin": None, "operator": ("public", "internal"), "viewer": ("public",)}
@@ -16,12 +17,23 @@ VISIBILITIES = ("public", "internal", "private")
 PROTECTED = ("IMPORTANT", "CORE", "LEGAL", "SYSTEM_PROTECTED")
 
 
+#: Columns that are too wide to be shuffled for every entry.
+WIDE = {"preview", "summary", "title", "keywords", "meta_json"}
+
+
 def catalog(entries: DataFrame, *columns: str) -> DataFrame:
-    """One row per entry id (normal form): the one updated last, ties by status. Only ``columns`` travel."""
+    """One row per entry id (normal form): the one updated last, ties by status. Only ``columns`` travel.
+
+    Where wide columns are asked for, ids that occur once stay where they are.
+    """
     keep = list(dict.fromkeys([*columns, "updated_at", "status"]))
     rows = entries.select(clean_id("id").alias("id"), *[c for c in keep if c != "id"]).where("id is not null")
     newest = Window.partitionBy("id").orderBy(F.col("updated_at").desc_nulls_last(), F.col("status").desc_nulls_last())
-    return rows.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
+    if not WIDE & set(columns):
+        return rows.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
+    again = materialize(rows.groupBy("id").count().where("count > 1").select("id"), f"{scratch_dir(entries.sparkSession)}/again")
+    several = semi_join_sized(rows, again, "id").withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
+    return anti_join_sized(rows, again, "id").unionByName(several)
 
 
 def scope(level: str = "viewer", include_pending: bool = False, include_pieces: bool = True) -> Column:

@@ -7,46 +7,98 @@ the shuffle, and hits are ranked per query with WindowGroupLimit.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivolt.functions.text import index_text, tokens
-from archivolt.session import semi_join_sized
+from archivolt.functions import text as T
+from archivolt.functions.text import index_text
+from archivolt.session import join_sized, materialize, scratch_dir, semi_join_sized
+
+_CJK = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uac00-\ud7af"
 
 #: Field weights and the constants of BM25 and of rank fusion.
 WEIGHTS = {"title": 6, "summary": 3, "keywords": 2, "preview": 1}
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
-def field_tokens(docs: DataFrame) -> DataFrame:
-    """(id, term, weight): a row for every token of the weighted fields."""
-    parts = [docs.select("id", F.explode(tokens(f)).alias("term"), F.lit(w).alias("weight")) for f, w in WEIGHTS.items()]
-    return reduce(DataFrame.unionByName, parts)
+def compiled(queries: DataFrame) -> DataFrame:
+    """(qid, term, pos, pair) of queries (qid, query): what each asks for.
+
+    A query matches where any of its parts does. A run of letters and digits is
+    one term; up to three CJK characters are a phrase; of a longer run every two
+    neighbours are a term, and two terms that follow each other must both occur
+    (``pair``; ``pos`` counts on, with a gap between runs).
+    """
+    runs = queries.select("qid", F.posexplode(T.segments("query")).alias("run", "segment"))
+    runs = runs.withColumn("cjk", F.col("segment").rlike(f"^[{T.CJK}]")).withColumn("n", F.length("segment"))
+    spaced = F.trim(F.regexp_replace("segment", "(.)", "$1 "))
+    whole = runs.where("not cjk or n <= 3").select("qid", F.when(F.col("cjk"), spaced).otherwise(F.col("segment")).alias("term"), F.lit(-1).alias("pos"), F.lit(False).alias("pair"))
+    long = runs.where("cjk and n > 3").select("qid", "run", "n", "segment")
+    before = Window.partitionBy("qid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    long = long.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    pairs = long.select("qid", "start", F.posexplode(F.expr("transform(sequence(1, n - 1), i -> concat(substring(segment, i, 1), ' ', substring(segment, i + 1, 1)))")).alias("at", "term"))
+    return whole.distinct().unionByName(pairs.select("qid", "term", (F.col("start") + F.col("at")).cast("int").alias("pos"), F.lit(True).alias("pair")))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, visible: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score, rank). Statistics cover all of ``docs``; ``visible`` (id) limits the hits only.
+def postings(docs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((id, term, tf), (id, length)) of the asked terms; tf is weighted by field, length counts all tokens.
+
+    The texts are read once; a term that no query asks for leaves no row.
+    """
+    fields = F.array(*[F.struct(F.lit(w).alias("weight"), F.col(f).alias("text")) for f, w in WEIGHTS.items()])
+    each = docs.select("id", F.explode(fields).alias("f"))
+    found = each.select("id", F.col("f.weight").alias("weight"), F.explode(T.index_terms("f.text")).alias("term"))
+    tf = semi_join_sized(found, asked.select("term").distinct(), "term").groupBy("id", "term").agg(F.sum("weight").alias("tf"))
+    size = reduce(lambda a, b: a + b, [F.size(T.tokens(f)) for f in WEIGHTS])
+    return tf, docs.select("id", size.alias("length"))
+
+
+def scored_hits(docs: DataFrame, queries: DataFrame, visible: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score) of all matches by BM25. Statistics cover all of ``docs``; ``visible`` (id) limits the hits only.
 
-    A query matches a document that has any of its terms; a term that more than
-    half of the documents have keeps the small weight 1e-6.
+    Postings are laid out by document, the compiled queries come to them: their
+    number is checked before they are broadcast. So what a query finds in a
+    document is summed where the document is, and no match is shuffled before
+    the k best of a partition are taken.
     """
-    asked = queries.select("qid", F.explode(F.array_distinct(tokens("query"))).alias("term"))
-    size = reduce(lambda a, b: a + b, [F.size(tokens(f)) for f in WEIGHTS])
-    lengths = docs.select("id", size.alias("length"))
+    base = scratch_dir(docs.sparkSession)
+    asked = materialize(compiled(queries), f"{base}/asked")
+    tf, lengths = postings(docs, asked)
+    tf = materialize(tf, f"{base}/tf")
+    lengths = materialize(lengths, f"{base}/lengths")
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
-    wanted = semi_join_sized(field_tokens(docs), asked.select("term").distinct(), "term")
-    tf = wanted.groupBy("id", "term").agg(F.sum("weight").alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.join(F.broadcast(stats)).select("term", "avg_length", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"))
+    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats))
+    idf = idf.select("term", "avg_length", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"))
+    wanted = materialize(asked.join(idf, "term"), f"{base}/wanted")
+    last = wanted.agg(F.max("pos")).first()[0]
+    by_doc = lengths if visible is None else lengths.join(visible.select("id"), "id", "left_semi")
+    by_doc = tf.join(by_doc, "id")
+    met = join_sized(by_doc, wanted, "term")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length"))
-    weighed = tf.join(idf, "term").join(lengths, "id").select("id", "term", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("part"))
-    if visible is not None:
-        weighed = weighed.join(visible.select("id"), "id", "left_semi")
-    hits = asked.join(weighed, "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    return top(hits, k)
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / norm
+    # places of pairs as bits, a mask for every 62 places; neighbouring masks share one place
+    masks = [F.bit_or(F.when(F.col("pair") & F.col("pos").between(m * 62, m * 62 + 62), F.expr(f"shiftleft(1L, pos - {m * 62})"))).alias(f"m{m}") for m in range((last or 0) // 62 + 1)]
+    hits = met.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"), F.max(~F.col("pair")).alias("whole"), *masks)
+    matched = F.col("whole")
+    for m in range(len(masks)):
+        matched = matched | F.coalesce(F.col(f"m{m}").bitwiseAND(F.shiftrightunsigned(f"m{m}", 1)) != 0, F.lit(False))
+    return hits.where(matched).select("qid", "id", "score")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, visible: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score, rank): the k best matches of each query.
+
+    A term that more than half of the documents have keeps the small weight 1e-6.
+    """
+    return top(scored_hits(docs, queries, visible), k)
 
 
 def top(hits: DataFrame, k: int) -> DataFrame:
@@ -61,49 +113,106 @@ def phrase(docs: DataFrame, words: str, field: str = "preview") -> DataFrame:
     return docs.where(F.contains(padded, F.regexp_replace(wanted, " +", " ")))
 
 
+def like_terms(query: str) -> list[str]:
+    """Runs of two or more letters, digits or CJK characters of a query."""
+    return [t for t in re.findall(rf"[{_CJK}]+|(?:(?![{_CJK}])[^\W_])+", query.lower()) if len(t) >= 2]
+
+
 def like(docs: DataFrame, terms: list[str]) -> DataFrame:
     """Documents with any of the terms in title, summary or preview, regardless of case; all without terms."""
-    tests = [F.contains(F.lower(F.col(f)), F.lit(t.lower())) for t in terms[:8] for f in ("title", "summary", "preview")]
+    tests = [F.contains(F.lower(F.col(f)), F.lit(t.lower())) for t in terms for f in ("title", "summary", "preview")]
     return docs.where(reduce(lambda a, b: a | b, tests)) if tests else docs
 
 
-def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
-    """(qid, id, score, rank): the k most similar other rows of ``vectors`` (id, embedding) for each of ``queries`` (id, embedding).
+def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 10, least: float = -2.0, query_block: int = 2048, vector_block: int = 8192) -> DataFrame:
+    """(qid, id, score, rank): the k most similar other rows of ``vectors`` (id, embedding) for each of ``queries`` (id, embedding), above ``least``.
 
-    The stated queries go in blocks of bounded size against the scan of all
-    vectors: one matrix product for each Arrow batch, the k best of each batch
-    leave the task.
+    Both sides are cut by hash into blocks of bounded size; a tile is a block of
+    each, one matrix product, and the tiles' k best are merged. No block passes
+    through the driver.
+    """
+    n_q, n_v = queries.count(), vectors.count()
+    q_blocks, v_blocks = max(1, -(-n_q // query_block)), max(1, -(-n_v // vector_block))
+    q = queries.where("embedding is not null").select("id", "embedding", F.lit(True).alias("asks"), F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("i"))
+    q = q.select("id", "embedding", "asks", "i", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).alias("j"))
+    v = vectors.where("embedding is not null").select("id", "embedding", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.lit(v_blocks)).cast("int").alias("j"))
+    v = v.select("id", "embedding", "asks", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("i"), "j")
+    qid, vid = queries.schema["id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    same = qid == vid
+    if not same:
+        q, v = q.withColumn("id", F.col("id").cast("string")), v.withColumn("id", F.col("id").cast("string"))
+
+    def unit(column):
+        x = column.combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def tile(group: pa.Table) -> pa.Table:
+        asks = group.column("asks")
+        a, b = group.filter(asks), group.filter(pc.invert(asks))
+        empty = pa.table({"qid": a.column("id").slice(0, 0), "id": b.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
+        if not a.num_rows or not b.num_rows:
+            return empty
+        b = b.sort_by("id")  # of equal scores the smaller id comes first
+        qs, vs = unit(a.column("embedding")), unit(b.column("embedding"))
+        own = pc.index_in(a.column("id"), b.column("id")).combine_chunks()
+        out = []
+        for at in range(0, len(qs), 256):
+            s = np.round(qs[at : at + 256] @ vs.T, 6)
+            me = own.slice(at, 256).to_numpy(zero_copy_only=False).astype(float)
+            mine = np.flatnonzero(~np.isnan(me))
+            s[mine, me[mine].astype(int)] = -9
+            floor = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -8.0)
+            i, j = np.nonzero((s >= floor[:, None]) & (s > least))
+            order = np.lexsort((j, -s[i, j], i))
+            i, j = i[order], j[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            i, j = i[first], j[first]
+            out.append(pa.table({"qid": a.column("id").take(pa.array(i + at)), "id": b.column("id").take(pa.array(j)), "score": pa.array(s[i, j])}))
+        return pa.concat_tables(out)
+
+    kind = q.schema["id"].dataType.simpleString()
+    found = q.unionByName(v).groupBy("i", "j").applyInArrow(tile, f"qid {kind}, id {kind}, score double")
+    found = found.select(F.col("qid").cast(qid), F.col("id").cast(vid), "score")
+    return top(found, k)
+
+
+def hashed_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = 512, cap: int = 8192, digest: str = "blake2b", unit: bool = True) -> DataFrame:
+    """(id, embedding): signed counts of hashed runs of three characters, of length one (``unit``); texts without any have zeros.
+
+    ``cap`` is the model's input limit in characters. ``digest``: blake2b, or md5
+    where SQL engines must give the same.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    rows = queries.select("id", "embedding").orderBy("id")
-    out = None
-    held = rows.toArrow()
-    for at in range(0, max(held.num_rows, 1), block):
-        part = held.slice(at, block)
-        ids = part.column("id").to_numpy()
-        q = np.array(part.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12) if len(ids) else q
-
-        def score(batches, q=q, ids=ids):
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                own = b.column(0).to_numpy()
-                x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                s = np.round(q @ x.T, 6)
-                s[ids[:, None] == own[None]] = -9
-                m = min(k, b.num_rows)
-                order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :m]
-                take = np.take_along_axis(s, order, axis=1)
-                i, j = np.nonzero(take > -9)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[order[i, j]]), pa.array(take[i, j])], names=["qid", "id", "score"])
-
-        found = vectors.select("id", "embedding").where("embedding is not null").mapInArrow(score, "qid bigint, id bigint, score double")
-        out = found if out is None else out.unionByName(found)
-    return top(out, k)
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def work(batches):
+        known: dict[str, tuple[int, float]] = {}
+
+        def slot(gram: str) -> tuple[int, float]:
+            if digest == "md5":
+                h = hashlib.md5(gram.encode("utf-8", "surrogatepass")).hexdigest()
+                return int(h[:8], 16) % dim, 1.0 if int(h[8], 16) & 1 else -1.0
+            h = hashlib.blake2b(gram.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+            return int.from_bytes(h[:4], "little") % dim, 1.0 if h[4] & 1 else -1.0
+
+        for b in batches:
+            rows = np.zeros((b.num_rows, dim))
+            for i, text in enumerate(b.column(1).to_pylist()):
+                t = re.sub(r"\s+", " ", (text or "").replace("İ", "i").lower()).strip()[:cap]
+                for j in range(len(t) - 2):
+                    g = t[j : j + 3]
+                    if g not in known:
+                        if len(known) > 200_000:
+                            known.clear()
+                        known[g] = slot(g)
+                    at, sign = known[g]
+                    rows[i, at] += sign
+            if unit:
+                rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+            flat = pa.array(rows.astype(np.float32).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, dim, dtype=np.int32)), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["id", "embedding"])
+
+    return df.select(F.col(id_col).alias("id"), text_col).mapInArrow(work, f"id {kind}, embedding array<float>")
 
 
 def fuse(lanes: list[DataFrame], k: int = 10) -> DataFrame:

@@ -9,7 +9,9 @@ from archivolt.functions import text as T
 from archivolt.functions.ids import clean_hash, clean_id
 from archivolt.functions.kinds import EXTENSIONS, extension, kind_of
 from archivolt.operators import catalog as C
+from archivolt.operators import hierarchy as H
 from archivolt.operators import search as R
+from archivolt.session import materialize, scratch_dir
 from archivolt.sources.tables import entries, table
 
 QUERIES: dict = {}
@@ -116,8 +118,10 @@ def browse_page(spark, sf):
   WHERE lower(trim(tag)) = (SELECT min(t) FROM (SELECT lower(trim(tag)) AS t, count(*) AS n FROM tags GROUP BY 1 ORDER BY n DESC, t LIMIT 1)))""")
 def tag_semi_join(spark, sf):
     tags = table(spark, sf, "tags")
-    common = tags.groupBy(F.lower(F.trim("tag")).alias("t")).count().orderBy(F.col("count").desc(), "t").limit(1).collect()
-    return C.with_tag(_cat(spark, sf, "kind"), tags, common[0].t if common else "").select("id", "kind")
+    spelled = tags.select(clean_id("entry_id").alias("id"), F.lower(F.trim("tag")).alias("t"))
+    common = spelled.groupBy("t").count().orderBy(F.col("count").desc(), "t").limit(1).select("t")
+    held = spelled.join(F.broadcast(common), "t", "left_semi")
+    return _cat(spark, sf, "kind").join(held, "id", "left_semi").select("id", "kind")
 
 
 @query(f"WITH {_CAT} SELECT id, source_path FROM cat WHERE source_path GLOB '/srv/kb/*/d00?/*.md'")
@@ -152,10 +156,10 @@ def missing_references(spark, sf):
 
 
 @query(f"""WITH {_CAT} SELECT DISTINCT {_HASH.format('content_hash')} AS digest FROM batch_items
-WHERE {_HASH.format('content_hash')} IS NOT NULL AND {_HASH.format('content_hash')} NOT IN (SELECT blob FROM cat WHERE blob IS NOT NULL)""")
+WHERE {_HASH.format('content_hash')} IS NOT NULL AND {_HASH.format('content_hash')} NOT IN (SELECT {_HASH.format('blob')} FROM cat WHERE {_HASH.format('blob')} IS NOT NULL)""")
 def orphan_blobs(spark, sf):
     held = table(spark, sf, "batch_items").select(clean_hash("content_hash").alias("digest")).where("digest is not null").distinct()
-    return held.join(_cat(spark, sf, "blob").select(F.col("blob").alias("digest")), "digest", "left_anti")
+    return held.join(_cat(spark, sf, "blob").select(clean_hash("blob").alias("digest")), "digest", "left_anti")
 
 
 @query(f"""WITH {_CAT} SELECT id, kind FROM cat WHERE id NOT IN (SELECT json_extract_string(r, '$.id') FROM (
@@ -193,52 +197,105 @@ def _queries(spark, sf):
     return q.select(F.sha2("query", 256).alias("qid"), "query")
 
 
-_FIELDS = "UNION ALL ".join(f"SELECT id, unnest({_tokens(f)}) AS term, {w} AS weight FROM cat " for f, w in R.WEIGHTS.items())
-_LENGTH = " + ".join(f"len({_tokens(f)})" for f in R.WEIGHTS)
-_BM25 = f"""{_CAT}, q AS (SELECT DISTINCT sha256(query) AS qid, query FROM query_log WHERE trim(query) <> ''),
-asked AS (SELECT DISTINCT qid, unnest({_tokens('query')}) AS term FROM q),
-field_tokens AS ({_FIELDS}), lengths AS (SELECT id, {_LENGTH} AS length FROM cat),
-stats AS (SELECT count(*) AS n, avg(length) AS avg_length FROM lengths),
-tf AS (SELECT id, term, sum(weight) AS tf FROM field_tokens WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2),
+def _is_cjk(c: str) -> str:
+    return f"regexp_full_match({c}, '{_CJK[1:-1]}')"
+
+
+_FIELDS = "UNION ALL ".join(f"SELECT id, {w} AS weight, {_tokens(f)} AS t FROM cat " for f, w in R.WEIGHTS.items())
+_SEGMENTS = f"list_filter(string_split(regexp_replace(regexp_replace(lower(translate(query, 'İ', 'i')), '({_CJK[1:-1]}+)', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda t: t <> '')"
+
+
+def _run(k: int) -> str:
+    """SQL for the terms of k + 1 neighbouring CJK tokens of a list t."""
+    all_cjk = " AND ".join(_is_cjk(f"t[i + {j}]") for j in range(k + 1))
+    return f"list_transform(list_filter(range(1, len(t) - {k - 1}), lambda i: {all_cjk}), lambda i: array_to_string(t[i : i + {k}], ' '))"
+
+
+_BM25 = f"""{_CAT.replace("cat AS (", "cat AS MATERIALIZED (")}, q AS (SELECT DISTINCT sha256(query) AS qid, query FROM query_log WHERE trim(query) <> ''),
+seg AS (SELECT *, {_is_cjk("substr(segment, 1, 1)")} AS cjk, length(segment) AS n FROM (
+  SELECT qid, unnest(range(1, len(s) + 1)) AS run, unnest(s) AS segment FROM (SELECT qid, {_SEGMENTS} AS s FROM q))),
+asked AS MATERIALIZED (SELECT DISTINCT qid, CASE WHEN cjk THEN array_to_string(string_split(segment, ''), ' ') ELSE segment END AS term, -1 AS pos, false AS pair
+  FROM seg WHERE NOT cjk OR n <= 3
+  UNION ALL SELECT qid, substr(segment, i, 1) || ' ' || substr(segment, i + 1, 1), start + i - 1, true FROM (
+    SELECT *, coalesce(sum(n) OVER (PARTITION BY qid ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM seg WHERE cjk AND n > 3),
+    unnest(range(1, n)) AS g(i)),
+field_tokens AS MATERIALIZED ({_FIELDS}),
+lengths AS MATERIALIZED (SELECT id, sum(len(t)) AS length FROM field_tokens GROUP BY 1), stats AS (SELECT count(*) AS n, avg(length) AS avg_length FROM lengths),
+tf AS MATERIALIZED (SELECT id, term, sum(weight) AS tf FROM (SELECT id, weight, unnest(list_concat(t, {_run(1)}, {_run(2)})) AS term FROM field_tokens)
+  WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 idf AS (SELECT term, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END AS idf, avg_length FROM df, stats),
-weighed AS (SELECT id, term, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length)) AS part FROM tf JOIN idf USING (term) JOIN lengths USING (id)
-  WHERE id IN (SELECT id FROM cat WHERE status = 'active' AND visibility IN ('public', 'internal'))),
-hits AS (SELECT qid, id, round(sum(part), 6) AS score FROM asked JOIN weighed USING (term) GROUP BY 1, 2),
-keyword AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM hits) WHERE rank <= 10)"""
+scope AS MATERIALIZED (SELECT id FROM cat WHERE status = 'active' AND visibility IN ('public', 'internal')),
+weighed AS (SELECT id, term, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length)) AS part FROM tf JOIN idf USING (term) JOIN lengths USING (id) JOIN scope USING (id)),
+hits AS (SELECT qid, id, score FROM (SELECT qid, id, round(sum(part), 6) AS score, bool_or(NOT pair) AS whole, list(pos) FILTER (WHERE pair) AS places
+  FROM asked JOIN weighed USING (term) GROUP BY 1, 2) WHERE whole OR len(list_intersect(places, list_transform(places, lambda p: p + 1))) > 0),
+keyword AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM hits QUALIFY rank <= 200)"""
 
 
-def _keyword(spark, sf):
+def _keyword(spark, sf, k=10):
     docs = _docs(spark, sf)
-    return R.bm25(docs, _queries(spark, sf), 10, docs.where(C.scope("operator")))
+    return R.bm25(docs, _queries(spark, sf), k, docs.where(C.scope("operator")))
 
 
-@query(f"WITH {_BM25} SELECT qid, id, rank FROM keyword")
+@query(f"WITH {_BM25} SELECT qid, id, rank FROM keyword WHERE rank <= 10")
 def kw_bm25_top10(spark, sf):
     return _keyword(spark, sf).select("qid", "id", "rank")
 
 
-@query(f"""WITH {_BM25}, recent AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY updated_at DESC NULLS LAST, id) AS rank
-  FROM hits JOIN cat USING (id)),
-fused AS (SELECT qid, id, round(sum(1 / (60 + rank)), 6) AS score FROM (SELECT qid, id, rank FROM keyword UNION ALL SELECT qid, id, rank FROM recent WHERE rank <= 10) GROUP BY 1, 2)
-SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fused) WHERE rank <= 10""")
-def rrf_fusion(spark, sf):
+@query(f"WITH {_BM25} SELECT DISTINCT qid, term, pos, pair FROM asked")
+def query_compiled(spark, sf):
+    """What each logged query asks for: terms, phrases and pairs of neighbours."""
+    return R.compiled(_queries(spark, sf))
+
+
+_GRAMS = """SELECT key, CAST(CAST('0x' || substr(m, 1, 8) AS BIGINT) % 512 AS INT) AS bucket, CAST(sum(CASE WHEN substr(m, 9, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN 1 ELSE -1 END) AS DOUBLE) AS w
+  FROM (SELECT key, md5(unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))) AS m FROM (
+    SELECT key, substr(trim(regexp_replace(lower(translate(text, 'İ', 'i')), '\\s+', ' ', 'g')), 1, 8192) AS t FROM ({0}))) GROUP BY 1, 2"""
+_VECTOR = f"""dv AS MATERIALIZED ({_GRAMS.format("SELECT id AS key, concat_ws(chr(10), title, summary, replace(keywords, ',', ' ')) AS text FROM cat JOIN scope USING (id)")}),
+qv AS MATERIALIZED ({_GRAMS.format("SELECT qid AS key, query AS text FROM q")}),
+dn AS (SELECT key, sqrt(sum(w * w)) AS norm FROM dv GROUP BY 1), qn AS (SELECT key, sqrt(sum(w * w)) AS norm FROM qv GROUP BY 1),
+alike AS (SELECT qid, id, round(dot / (qn.norm * dn.norm), 6) AS score FROM (SELECT qv.key AS qid, dv.key AS id, sum(qv.w * dv.w) AS dot FROM qv JOIN dv USING (bucket) GROUP BY 1, 2)
+  JOIN qn ON qid = qn.key JOIN dn ON id = dn.key WHERE dot > 0),
+vector AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM alike WHERE score > 0 QUALIFY rank <= 200),
+fused AS MATERIALIZED (SELECT qid, id, round(sum(1 / (60 + rank)), 6) AS score FROM (SELECT qid, id, rank FROM keyword UNION ALL SELECT qid, id, rank FROM vector) GROUP BY 1, 2),
+best AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fused QUALIFY rank <= 10)"""
+
+
+def _hybrid(spark, sf):
+    """Both lanes see the scope only and bring 200 candidates."""
     docs = _docs(spark, sf)
-    hits = R.bm25(docs, _queries(spark, sf), 1 << 30, docs.where(C.scope("operator")))
-    newest = Window.partitionBy("qid").orderBy(F.col("updated_at").desc_nulls_last(), "id")
-    recent = hits.drop("rank").join(docs.select("id", "updated_at"), "id").withColumn("rank", F.row_number().over(newest)).where("rank <= 10")
-    return R.fuse([hits.where("rank <= 10"), recent])
+    inside = docs.where(C.scope("operator"))
+    queries = _queries(spark, sf)
+    keyword = R.bm25(docs, queries, 200, inside)
+    about = inside.select("id", F.concat_ws("\n", "title", "summary", F.translate("keywords", ",", " ")).alias("text"))
+    mine = R.hashed_vectors(queries, "qid", "query", digest="md5", unit=False)
+    theirs = R.hashed_vectors(about, "id", "text", digest="md5", unit=False)
+    vector = R.cosine_top(mine, theirs, 200, least=0.0)
+    return R.fuse([keyword, vector])
+
 
+@query(f"WITH {_BM25}, {_VECTOR} SELECT qid, id, score, rank FROM best")
+def rrf_fusion(spark, sf):
+    return _hybrid(spark, sf)
 
-@query(f"""WITH {_BM25}, above AS (SELECT DISTINCT qid, {_PARENT} AS id FROM keyword JOIN cat USING (id) WHERE {_PARENT} IS NOT NULL)
-SELECT qid, id, rank FROM keyword ANTI JOIN above USING (qid, id)""")
+
+@query(f"""WITH {_BM25}, {_VECTOR}, above AS (SELECT DISTINCT qid, {_PARENT} AS id FROM best JOIN cat USING (id) WHERE {_PARENT} IS NOT NULL)
+SELECT qid, id, rank FROM best ANTI JOIN above USING (qid, id)""")
+def hybrid_search(spark, sf):
+    parents = _cat(spark, sf, "parent_id").select("id", clean_id("parent_id").alias("parent_id"))
+    return R.suppress_parents(_hybrid(spark, sf), parents).select("qid", "id", "rank")
+
+
+@query(f"""WITH {_BM25}, top10 AS MATERIALIZED (SELECT * FROM keyword WHERE rank <= 10),
+above AS (SELECT DISTINCT qid, {_PARENT} AS id FROM top10 JOIN cat USING (id) WHERE {_PARENT} IS NOT NULL)
+SELECT qid, id, rank FROM top10 ANTI JOIN above USING (qid, id)""")
 def parent_suppression(spark, sf):
     parents = _cat(spark, sf, "parent_id").select("id", clean_id("parent_id").alias("parent_id"))
     return R.suppress_parents(_keyword(spark, sf), parents).select("qid", "id", "rank")
 
 
 @query(f"""WITH {_BM25}, golden AS (SELECT DISTINCT sha256(query) AS qid, lower(trim(top_id)) AS id FROM query_log WHERE trim(query) <> '' AND top_id IS NOT NULL),
-found AS (SELECT qid, g.id, rank FROM golden g LEFT JOIN keyword USING (qid, id))
+found AS (SELECT qid, g.id, rank FROM golden g LEFT JOIN (SELECT * FROM keyword WHERE rank <= 10) USING (qid, id))
 SELECT count(DISTINCT qid) AS queries, round(avg((rank IS NOT NULL)::INT), 6) AS recall_at_10, round(avg(coalesce(1 / rank, 0)), 6) AS mrr FROM found""")
 def recall_mrr(spark, sf):
     log = table(spark, sf, "query_log").where((F.trim("query") != "") & F.col("top_id").isNotNull())
@@ -259,7 +316,7 @@ def kw_phrase_match(spark, sf):
 @query(f"""WITH {_CAT} SELECT id FROM cat WHERE contains(lower(title), 'memory') OR contains(lower(summary), 'memory') OR contains(lower(preview), 'memory')
   OR contains(lower(title), '星云') OR contains(lower(summary), '星云') OR contains(lower(preview), '星云')""")
 def kw_like_fallback(spark, sf):
-    return R.like(_cat(spark, sf, "title", "summary", "preview"), ["memory", "星云"]).select("id")
+    return R.like(_cat(spark, sf, "title", "summary", "preview"), R.like_terms("Memory: 星云?")).select("id")
 
 
 @query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
@@ -281,19 +338,59 @@ def vec_scoped_topk(spark, sf):
 # --- text --------------------------------------------------------------------------------
 
 
-@query(f"""SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) GROUP BY 1
-HAVING count(*) >= 5""")
+_STOP = ", ".join(f"'{w}'" for w in T.EN_STOP)
+_LOW = "lower(translate(coalesce(text, ''), 'İ', 'i'))"
+_KEYWORDS = f"""list_concat(list_filter(regexp_extract_all({_LOW}, '[a-z0-9]{{2,}}'), lambda w: w NOT IN ({_STOP}) AND NOT regexp_full_match(w, '[0-9]+')),
+  list_filter(flatten(list_transform(regexp_extract_all({_LOW}, '{_CJK[1:-1]}+'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))),
+    lambda p: NOT regexp_matches(p, '[{T.ZH_STOP}]')))"""
+_COUNTED = f"""t AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT doc_id, {_KEYWORDS} AS w FROM documents)),
+counted AS (SELECT doc_id, term, count(*) AS n, min(pos) AS first FROM t GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_COUNTED} SELECT term, CAST(sum(n) AS BIGINT) AS n, count(*) AS docs FROM counted GROUP BY 1 HAVING sum(n) >= 5")
 def term_freq(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", F.explode(T.tokens("text")).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("k"))
-    return t.groupBy("term").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("docs")).where("n >= 5")
+    counted = T.keyword_counts(table(spark, sf, "documents"), "doc_id", "text")
+    return counted.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).where("n >= 5")
 
 
-@query(f"""SELECT doc_id, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS rank FROM (
-  SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) WHERE length(term) >= 2 GROUP BY 1, 2)) WHERE rank <= 8""")
+@query(f"WITH {_COUNTED} SELECT doc_id, term, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM counted QUALIFY rank <= 8")
 def keywords_top8(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", F.explode(T.tokens("text")).alias("term")).where(F.length("term") >= 2)
-    best = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "term")
-    return t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(best)).where("rank <= 8")
+    """The most frequent terms of each document, of equal ones the first in the text."""
+    best = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "first")
+    counted = T.keyword_counts(table(spark, sf, "documents"), "doc_id", "text")
+    return counted.withColumn("rank", F.row_number().over(best)).where("rank <= 8").select("doc_id", "term", "n", "rank")
+
+
+@query("""SELECT doc_id, array_to_string(list_transform(list_filter(list_distinct_in_order, lambda x: x <> '')[1:12], lambda x: substr(x, 1, 120)), '；') AS outline FROM (
+  SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS list_distinct_in_order FROM (
+    SELECT doc_id, list_transform(list_filter(string_split_regex(text, '\\r\\n|\\n|\\r'), lambda x: regexp_matches(x, '^\\s*((async\\s+)?def\\s+\\w+|class\\s+\\w+|(export\\s+)?(async\\s+)?function\\s+\\w+|(pub\\s+)?fn\\s+\\w+|func\\s+\\w+|type\\s+\\w+|interface\\s+\\w+|(public|private|protected)[\\w\\s<>\\[\\]]*\\s+\\w+\\s*\\()')),
+      lambda x: regexp_replace(trim(x, ' '), '[:{\\s]+$', '')) AS l FROM documents WHERE kind = 'code'))""")
+def code_outline(spark, sf):
+    d = table(spark, sf, "documents").where("kind = 'code' and text is not null")
+    return d.select("doc_id", T.code_outline("text").alias("outline"))
+
+
+@query("""SELECT doc_id, substr(CASE WHEN head <> '' THEN head ELSE stem END, 1, 100) AS title FROM (SELECT doc_id,
+  trim(regexp_extract(coalesce(text, ''), '^\\s*#+([^\\n\\r]*)', 1), ' ') AS head,
+  regexp_replace(regexp_extract(coalesce(source_path, ''), '([^/]*)$', 1), '([^.])\\.[^.]*$', '\\1') AS stem FROM documents)""")
+def titles(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.title("source_path", "text").alias("title"))
+
+
+@query("""WITH RECURSIVE paras AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '') AS p
+  FROM documents WHERE text IS NOT NULL),
+fold AS (SELECT doc_id, 0 AS i, CAST([] AS VARCHAR[]) AS done, '' AS buf, len(p) AS n FROM paras
+  UNION ALL SELECT f.doc_id, f.i + 1,
+    CASE WHEN length(p[i + 1]) > 1200 THEN list_concat(done, CASE WHEN buf <> '' THEN [buf] ELSE [] END, [p[i + 1]])
+      WHEN buf = '' OR length(buf) + length(p[i + 1]) + 1 <= 1200 THEN done ELSE list_append(done, buf) END,
+    CASE WHEN length(p[i + 1]) > 1200 THEN '' WHEN buf = '' THEN p[i + 1] WHEN length(buf) + length(p[i + 1]) + 1 <= 1200 THEN buf || chr(10) || p[i + 1] ELSE p[i + 1] END, n
+  FROM fold f JOIN paras USING (doc_id) WHERE f.i < n),
+pieces AS (SELECT doc_id, unnest(d) AS piece, unnest(range(len(d))) AS place FROM (SELECT doc_id, CASE WHEN buf <> '' THEN list_append(done, buf) ELSE done END AS d FROM fold WHERE i = n)),
+cut AS (SELECT doc_id, place, i AS sub, substr(piece, CAST(i * 1000 + 1 AS BIGINT), 1200) AS piece FROM pieces, unnest(generate_series(0,
+  CASE WHEN length(piece) <= 1200 THEN 0 ELSE CAST(ceil((length(piece) - 1200) / 1000) AS BIGINT) END)) AS g(i))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place, sub) - 1 AS no, piece FROM cut""")
+def chunk_paragraphs(spark, sf):
+    return T.merged_paragraphs(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query("""SELECT doc_id, count(*) AS sentences, max(length(s)) AS longest FROM (
@@ -406,19 +503,20 @@ def provenance_degrees(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {_CAT}, e AS (SELECT id, nullif(lower(trim(derived_from)), '') AS source FROM cat),
-walk AS (SELECT id AS start, source AS node, 1 AS hop, [id] AS seen FROM e WHERE source IS NOT NULL
+walk AS (SELECT id AS start, source AS node, 1 AS hop, [id] AS seen FROM e WHERE source IS NOT NULL AND source <> id
   UNION ALL SELECT w.start, e.source, w.hop + 1, list_append(w.seen, w.node) FROM walk w JOIN e ON e.id = w.node
-  WHERE e.source IS NOT NULL AND w.hop < 16 AND NOT list_contains(list_append(w.seen, w.node), e.source))
-SELECT start AS id, node AS source, hop FROM walk""")
+  WHERE e.source IS NOT NULL AND NOT list_contains(list_append(w.seen, w.node), e.source))
+SELECT start AS id, node AS source, CAST(hop AS BIGINT) AS hop FROM walk""")
 def provenance_chain(spark, sf):
-    _cat(spark, sf, "derived_from").select("id", clean_id("derived_from").alias("source")).createOrReplaceTempView("_derivations")
-    return spark.sql("""
-        WITH RECURSIVE walk(start, node, hop, seen) MAX RECURSION LEVEL 20 AS (
-          SELECT id, source, 1, array(id) FROM _derivations WHERE source IS NOT NULL
-          UNION ALL
-          SELECT w.start, e.source, w.hop + 1, array_append(w.seen, w.node) FROM walk w JOIN _derivations e ON e.id = w.node
-          WHERE e.source IS NOT NULL AND w.hop < 16 AND NOT array_contains(array_append(w.seen, w.node), e.source))
-        SELECT start AS id, node AS source, hop FROM walk""")
+    """All sources of each entry, nearest first, also the last one that is unknown; chains stop where they would repeat."""
+    c = materialize(_cat(spark, sf, "derived_from").select("id", clean_id("derived_from").alias("source")), f"{scratch_dir(spark)}/sources")
+    pairs = H.all_descendants(H.hierarchy(c, superiors=("source",)))
+    pairs = pairs.select(F.col("descendant").alias("id"), F.col("ancestor").alias("source"), F.col("distance").alias("hop"))
+    known = c.select(F.col("id").alias("source"))
+    unknown = c.where("source is not null").join(known, "source", "left_anti").select(F.col("id").alias("last"), F.col("source").alias("unknown"))
+    beyond = pairs.join(unknown, pairs.source == unknown.last).select("id", F.col("unknown").alias("source"), (F.col("hop") + 1).alias("hop"))
+    own = unknown.select(F.col("last").alias("id"), F.col("unknown").alias("source"), F.lit(1).cast("bigint").alias("hop"))
+    return pairs.unionByName(beyond).unionByName(own)
 
 
 @query(f"WITH {_CAT} SELECT id, retention_class, status FROM cat WHERE status = 'active' AND retention_class NOT IN ('IMPORTANT', 'CORE', 'LEGAL', 'SYSTEM_PROTECTED')")
@@ -458,9 +556,17 @@ def newest_per_scope(spark, sf):
 @query("""WITH k AS (SELECT qkey, max(created_at) AS seen FROM semantic_cache GROUP BY 1), c AS (SELECT *, count(*) OVER () AS n FROM k)
 SELECT qkey FROM c QUALIFY row_number() OVER (ORDER BY seen NULLS FIRST, qkey) <= n // 10""")
 def cache_eviction(spark, sf):
-    k = table(spark, sf, "semantic_cache").groupBy("qkey").agg(F.max("created_at").alias("at"))
-    oldest = k.count() // 10
-    return k.orderBy(F.col("at").asc_nulls_first(), "qkey").limit(oldest).select("qkey")
+    """The tenth of the keys seen longest ago: whole hours by their counts, then the rest of one hour."""
+    k = table(spark, sf, "semantic_cache").groupBy("qkey").agg(F.max("created_at").alias("at")).withColumn("hour", F.coalesce(F.substring("at", 1, 13), F.lit("")))
+    hours = k.groupBy("hour").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)  # of hours, not of keys
+    hours = hours.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    hours = hours.join(F.broadcast(hours.agg(F.expr("sum(n) div 10").alias("most")))).where("before < most")
+    whole = hours.where("before + n <= most").select("hour")
+    cut = hours.where("before + n > most").select("hour", (F.col("most") - F.col("before")).alias("left"))
+    order = Window.partitionBy("hour").orderBy(F.col("at").asc_nulls_first(), "qkey")
+    some = k.join(F.broadcast(cut), "hour").withColumn("nth", F.row_number().over(order)).where("nth <= left")
+    return k.join(whole, "hour", "left_semi").select("qkey").unionByName(some.select("qkey"))
 
 
 # --- kinds, hashed vectors, summaries -----------------------------------------------------------
@@ -484,7 +590,7 @@ b AS (SELECT doc_id, CAST(CAST('0x' || substr(m, 1, 8) AS BIGINT) % 512 AS INT)
   sum(k * CASE WHEN substr(m, 9, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN 1 ELSE -1 END) AS w FROM h GROUP BY 1, 2)
 SELECT doc_id, bucket, CAST(w AS BIGINT) AS weight FROM b WHERE w <> 0""")
 def hash_embed_md5(spark, sf):
-    g = table(spark, sf, "documents").select("doc_id", F.explode(T.grams("text")).alias("gram"))
+    g = T.gram_rows(table(spark, sf, "documents"), ["doc_id"], "text")
     counted = g.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("k"))
     signed = counted.select("doc_id", T.gram_bucket(F.col("gram"), 512).alias("bucket"), (F.col("k") * T.gram_sign(F.col("gram"))).alias("w"))
     return signed.groupBy("doc_id", "bucket").agg(F.sum("w").alias("weight")).where("weight <> 0")
