@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from archivolt.functions.ids import clean_hash, clean_id, clean_path
 from archivolt.llm import shingles as S
-from archivolt.session import BROADCAST_ROWS, list_folder, load_text, materialize, save_text, scratch_dir
+from archivolt.session import BROADCAST_ROWS, join_sized, list_folder, load_text, materialize, save_text, scratch_dir
 
 KEYS = 20
 BLOCK = 16
@@ -59,7 +59,7 @@ GREEDY_LINKS = 1_000_000
 _HALF = ["s0", "s1"]
 _LONGS = [f"s{i}" for i in range(S.SKETCH_LONGS)]
 _KEY_RUN = "key bigint, cls binary, runs int, s0 bigint, s1 bigint, block bigint, run int, zone int, fence boolean"
-_CLASS_RUN = "cls binary, low string, high string, loose boolean, runs int, sig array<smallint>, s0 bigint, s1 bigint, s2 bigint, s3 bigint, text string, hash string, run int, kind string, range int"
+_CLASS_RUN = "cls binary, low string, high string, loose boolean, s0 bigint, s1 bigint, s2 bigint, s3 bigint, text string, hash string, run int, kind string, range int"
 #: The sort orders use disjoint triples of MinHash values; a fourth value only orders.
 _KEY = (
     "shiftleft(cast(j as bigint), 58) | shiftleft(cast(sig[3 * j] & 65535 as bigint), 42) | shiftleft(cast(sig[3 * j + 1] & 65535 as bigint), 26)"
@@ -81,14 +81,14 @@ def _near(a: Column, b: Column) -> Column:
     return (a >= b * THRESHOLD) & (b >= a * THRESHOLD)
 
 
-def _alike_sketches() -> Column:
-    return _near(F.col("a.runs"), F.col("b.runs")) & (S.sketch_distance("a", "b", 2) <= S.sketch_limit(THRESHOLD, longs=2))
+def _alike_sketches(longs: int = 2) -> Column:
+    return _near(F.col("a.runs"), F.col("b.runs")) & (S.sketch_distance("a", "b", longs) <= S.sketch_limit(THRESHOLD, longs=longs))
 
 
 def described(df: DataFrame, keys: list[str], path: str, digest: str, text: str) -> DataFrame:
-    """(keys, path, hash, text, cls, runs, sig, s*) of every row; rows that resemble nothing have no class."""
+    """(keys, path, hash, text, cls, runs, sig, s*, row) of every row; rows that resemble nothing have no class. To be written at once: ``row`` numbers them."""
     base = df.select(*keys, clean_path(path).alias("path"), clean_hash(digest).alias("hash"), F.col(text).alias("text"))
-    return S.sketch(base, [*keys, "path", "hash", "text"], "text", all_rows=True)
+    return S.sketch(base, [*keys, "path", "hash", "text"], "text", all_rows=True).withColumn("row", F.monotonically_increasing_id())
 
 
 @dataclass
@@ -147,19 +147,16 @@ class History:
             return None
         return [r[0] for r in keys.select(self.range_of(col)).distinct().collect()]
 
-    def _write(self, classes: DataFrame, hashes: DataFrame) -> Run:
-        """A run of classes (cls, low, high, loose, runs, sig, s*, text) and hashes (hash)."""
+    def _write(self, classes: DataFrame, hashes: DataFrame, keyed: DataFrame) -> Run:
+        """A run of classes (cls, low, high, loose, s*, text), hashes (hash) and key rows (key, cls, runs, s0, s1)."""
         number = self.written
         self.written += 1
         both = classes.withColumn("kind", F.lit("class")).withColumn("range", self.range_of("cls")).unionByName(
             hashes.withColumn("kind", F.lit("hash")).withColumn("range", self.range_of("hash")), allowMissingColumns=True
         )
-        path = f"{self.folder}/rows/run={number}"
         seen = Observation()
         both = both.observe(seen, F.count("cls").alias("classes")).repartition("kind", "range")
-        both.write.option("compression", "zstd").partitionBy("kind", "range").parquet(path)
-        held = self.spark.read.schema(_CLASS_RUN.replace(", run int", "")).parquet(path).where("kind = 'class'")
-        keyed = key_rows(held, "cls", "runs", *_HALF)
+        both.write.option("compression", "zstd").partitionBy("kind", "range").parquet(f"{self.folder}/rows/run={number}")
         zones = max(1, -(-seen.get["classes"] * KEYS // self.zone_rows))
         row = F.monotonically_increasing_id()
         placed = keyed.repartitionByRange(zones, "key", "cls").sortWithinPartitions("key", "cls")
@@ -176,14 +173,16 @@ class History:
         return Run(number, lows)
 
     def append(self, rows: DataFrame) -> None:
-        """Add a run of described rows."""
+        """Add a run of described rows. Of each class one row stays; only the list of these rows is shuffled."""
         paths = F.when(F.col("path").isNotNull(), F.col("path"))
-        same = {c: F.first(c).alias(c) for c in ("runs", "sig", *_LONGS, "text")}
-        classes = rows.where("cls is not null").groupBy("cls").agg(
-            F.min(paths).alias("low"), F.max(paths).alias("high"), F.max(F.col("path").isNull()).alias("loose"), *same.values()
+        chosen = rows.where("cls is not null").groupBy("cls").agg(
+            F.min("row").alias("row"), F.min(paths).alias("low"), F.max(paths).alias("high"), F.max(F.col("path").isNull()).alias("loose")
         )
+        chosen = materialize(chosen.drop("cls"), f"{self.folder}/chosen{self.version}")
+        held = join_sized(rows.drop("path"), chosen, "row")
         hashes = rows.where("hash is not null").select("hash").distinct()
-        self._commit([*self.runs, self._write(classes, hashes)])
+        classes = held.select("cls", "low", "high", "loose", *_LONGS, "text")
+        self._commit([*self.runs, self._write(classes, hashes, key_rows(held, "cls", "runs", *_HALF))])
         if len(self.runs) > COMPACT_EVERY:
             self.compact()
 
@@ -192,12 +191,13 @@ class History:
         first, *rest = self.runs
         if len(rest) > 1:
             held = self._paths("rows", rest)
-            same = {c: F.first(c).alias(c) for c in ("runs", "sig", *_LONGS, "text")}
+            same = [F.first(c).alias(c) for c in (*_LONGS, "text")]
             classes = held.where("kind = 'class'").groupBy("cls").agg(
-                F.min("low").alias("low"), F.max("high").alias("high"), F.max("loose").alias("loose"), *same.values()
+                F.min("low").alias("low"), F.max("high").alias("high"), F.max("loose").alias("loose"), *same
             )
             hashes = held.where("kind = 'hash'").select("hash").distinct()
-            self._commit([first, self._write(classes, hashes)])
+            keyed = self._paths("keys", rest).select("cls", "runs", *_HALF, "key").distinct()
+            self._commit([first, self._write(classes, hashes, keyed)])
 
     def place(self, keyed: DataFrame) -> DataFrame:
         """(run, block, wide, *columns) for keyed rows and every run: where a key stands in the sorted run.
@@ -240,11 +240,15 @@ class History:
 
 
 def _exact(pairs: DataFrame, n: int, xs: DataFrame, ys: DataFrame) -> DataFrame:
-    """The ``n`` pairs (x, y, old) whose texts reach the threshold, with low, high, loose of y; ys: (cls, old, text, s*, low, high, loose)."""
+    """The ``n`` pairs (x, y, old, s*) whose texts reach the threshold, with low, high, loose of y; ys: (cls, old, text, s*, low, high, loose).
+
+    ``s*`` is the sketch of x: whole sketches are compared where y's rows are, before any text moves.
+    """
+    pairs = pairs.select("x", "y", "old", *[F.col(s).alias(f"{s}_x") for s in _LONGS])
     pairs = F.broadcast(pairs) if n <= BROADCAST_ROWS else pairs
     met = ys.select(F.col("cls").alias("y"), "old", F.col("text").alias("text_y"), *[F.col(s).alias(f"{s}_y") for s in _LONGS], "low", "high", "loose")
-    both = met.join(pairs, ["y", "old"]).join(xs.select(F.col("cls").alias("x"), F.col("text").alias("text_x"), *[F.col(s).alias(f"{s}_x") for s in _LONGS]), "x")
-    both = both.where(S.sketch_distance(None, None, S.SKETCH_LONGS, ("_x", "_y")) <= S.sketch_limit(THRESHOLD))
+    met = met.join(pairs, ["y", "old"]).where(S.sketch_distance(None, None, S.SKETCH_LONGS, ("_x", "_y")) <= S.sketch_limit(THRESHOLD))
+    both = met.select("x", "y", "old", "text_y", "low", "high", "loose").join(xs.select(F.col("cls").alias("x"), F.col("text").alias("text_x")), "x")
     return both.where(S.similarity_udf("text_x", "text_y") >= THRESHOLD).select("x", "y", "old", "low", "high", "loose")
 
 
@@ -312,16 +316,17 @@ def _settle(items: DataFrame, links: DataFrame, folder: str) -> DataFrame:
 
 
 def _in_batch(keyed: DataFrame) -> DataFrame:
-    """(x, y) of classes of a slice that meet: in windows of the sorted keys, or under equal MinHash triples."""
+    """(x, y, s* of x) of classes of a slice that meet: in windows of the sorted keys, or under equal MinHash triples."""
     order = Window.partitionBy(F.shiftright("key", 58)).orderBy("key", "cls").rowsBetween(-BLOCK // 2, -1)
-    beside = keyed.withColumn("b", F.collect_list(F.struct("cls", "runs", *_HALF)).over(order))
-    beside = beside.select(F.struct("cls", "runs", *_HALF).alias("a"), F.explode("b").alias("b"))
-    by_place = beside.where(_alike_sketches() & (F.col("a.cls") != F.col("b.cls")))
+    record = F.struct("cls", "runs", *_LONGS)
+    beside = keyed.withColumn("b", F.collect_list(record).over(order)).select(record.alias("a"), F.explode("b").alias("b"))
+    by_place = beside.where(_alike_sketches(4) & (F.col("a.cls") != F.col("b.cls")))
     a, b = keyed.withColumn("key", _prefix("key")).alias("a"), keyed.withColumn("key", _prefix("key")).alias("b")
-    by_key = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & _alike_sketches())
-    x, y = F.col("a.cls").alias("x"), F.col("b.cls").alias("y")
-    met = by_place.select(x, y).unionByName(by_key.select(x, y))
-    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    by_key = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & _alike_sketches(4))
+    first = F.col("a.cls") < F.col("b.cls")
+    longs = [F.when(first, F.col(f"a.{s}")).otherwise(F.col(f"b.{s}")).alias(s) for s in _LONGS]
+    x, y = F.least("a.cls", "b.cls").alias("x"), F.greatest("a.cls", "b.cls").alias("y")
+    return by_place.select(x, y, *longs).unionByName(by_key.select(x, y, *longs))
 
 
 def check(history: History, items: DataFrame, greedy_links: int = GREEDY_LINKS) -> DataFrame:
@@ -331,22 +336,21 @@ def check(history: History, items: DataFrame, greedy_links: int = GREEDY_LINKS)
     task (a slice is bounded), beyond that in rounds; the result is the same.
     """
     folder = f"{history.folder}/check{history.version}"
-    xs = items.where("lead").select("cls", "runs", "sig", *_LONGS, "text")
+    xs = items.where("lead").select("row", "cls", "runs", "sig", *_LONGS, "text")
     n = xs.count()
-    keyed = key_rows(xs, "cls", "runs", *_HALF)
-    x, y = F.col("a.cls").alias("x"), F.col("b.cls").alias("y")
-    met = _in_batch(keyed).withColumn("old", F.lit(False))
+    x, y, longs = F.col("a.cls").alias("x"), F.col("b.cls").alias("y"), [F.col(f"a.{s}") for s in _LONGS]
+    met = _in_batch(key_rows(xs, "cls", "runs", *_LONGS)).withColumn("old", F.lit(False))
     wide = 0
     if history.runs and n:
-        within = history.zones(keyed.select("key"), n * KEYS)
-        rows = history.keys().where(within)
-        placed, count = _counted(history.place(keyed), f"{folder}/placed", wide=F.col("wide"))
+        keyed = key_rows(xs, "row")
+        rows = history.keys().where(history.zones(keyed.select("key"), n * KEYS))
+        placed, count = _counted(history.place(keyed).drop("key"), f"{folder}/placed", wide=F.col("wide"))
         wide = count["wide"]
         blocks = rows.select("cls", "runs", *_HALF, "run", F.explode(F.array(*[F.col("block") + i for i in (-1, 0, 1)])).alias("block")).alias("b")
-        around = placed.select("cls", "runs", *_HALF, "run", "block").alias("a")
-        around = F.broadcast(around) if n * KEYS * len(history.runs) <= PLACED_ROWS else around
+        around = placed.select("row", "run", "block").join(F.broadcast(xs.select("row", "cls", "runs", *_LONGS)), "row")  # rows of one slice
+        around = (F.broadcast(around) if n * KEYS * len(history.runs) <= PLACED_ROWS else around).alias("a")
         seen = blocks.join(around, (F.col("a.run") == F.col("b.run")) & (F.col("a.block") == F.col("b.block")) & _alike_sketches())
-        met = met.unionByName(seen.select(x, y).withColumn("old", F.lit(True)))
+        met = met.unionByName(seen.select(x, y, *longs).withColumn("old", F.lit(True)))
 
     def linked(pairs: DataFrame, name: str) -> tuple[DataFrame, dict]:
         pairs, got = _counted(pairs.distinct(), f"{folder}/{name}", n=F.lit(True), old=F.col("old"))
@@ -359,11 +363,11 @@ def check(history: History, items: DataFrame, greedy_links: int = GREEDY_LINKS)
     if wide:  # hot keys: the rest of the rows beyond the window, for classes that the window doesn't show to be cases
         shown = links.where("old").groupBy("x").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("loose").alias("loose"))
         shown = shown.where("loose or low <> high").select(F.col("x").alias("cls"))
-        asking = key_rows(xs.join(placed.where("wide").select("cls").distinct(), "cls").join(shown, "cls", "left_anti"), "cls", "runs", *_HALF)
+        asking = key_rows(xs.join(placed.where("wide").select("row").distinct(), "row").join(shown, "cls", "left_anti"), "cls", "runs", *_LONGS)
         asking = asking.withColumn("key", _prefix("key"))
         asking = (F.broadcast(asking) if n * KEYS <= PLACED_ROWS else asking).alias("a")
         rest = rows.select("cls", "runs", *_HALF, _prefix("key").alias("key")).alias("b").join(asking, (F.col("a.key") == F.col("b.key")) & _alike_sketches())
-        more, _ = linked(rest.select(x, y).withColumn("old", F.lit(True)), "rest")
+        more, _ = linked(rest.select(x, y, *longs).withColumn("old", F.lit(True)), "rest")
         links = links.unionByName(more)
 
     base = items.select("item_id", "cls", "path", "hash")
@@ -384,7 +388,7 @@ def check(history: History, items: DataFrame, greedy_links: int = GREEDY_LINKS)
         own = still.where("cls is not null").select(F.col("cls").alias("x"), F.col("cls").alias("y")).distinct()
         out = _settle(still, both.unionByName(own), folder).unionByName(state.where("old").select("item_id", F.lit(True).alias("case")))
     out = materialize(out, f"{history.folder}/results/check={history.version}")
-    history.append(items.join(out.where("not case").select("item_id"), "item_id"))
+    history.append(items.join(F.broadcast(out.where("not case").select("item_id")), "item_id"))  # of one slice
     return out
 
 
@@ -407,12 +411,15 @@ def arrivals(batches: DataFrame, slice_rows: int = SLICE) -> tuple[DataFrame, li
         parts = -(-n // slice_rows)
         for cut in first.where(F.col("batch") == batch).approxQuantile("item_id", [i / parts for i in range(1, parts)], 0.001):
             part = part + F.when((F.col("batch") == batch) & (F.col("item_id") > int(cut)), 1).otherwise(0)
-    rows = described(items, ["item_id", "batch"], "source_path", "content_hash", "preview")
-    rows = rows.join(first.withColumnRenamed("batch", "first"), "item_id").where("batch = first").drop("first").dropDuplicates(["item_id"])
-    rows = rows.withColumn("slice", part)
+    folder = scratch_dir(batches.sparkSession)
+    rows = materialize(described(items, ["item_id", "batch"], "source_path", "content_hash", "preview"), f"{folder}/described")
+    # which row stands for an item, and which item for a class, is found on narrow rows
+    narrow = rows.groupBy("item_id").agg(F.min(F.struct("batch", "row", "cls")).alias("m")).select("item_id", "m.*").withColumn("slice", part)
     same = Window.partitionBy("batch", "slice", "cls")
-    rows = rows.withColumn("lead", F.col("cls").isNotNull() & (F.min("item_id").over(same) == F.col("item_id")))
-    rows = materialize(rows.repartition("batch", "slice"), f"{scratch_dir(batches.sparkSession)}/items", ["batch", "slice"])  # a file for each slice
+    narrow = narrow.withColumn("lead", F.col("cls").isNotNull() & (F.min("item_id").over(same) == F.col("item_id")))
+    narrow = materialize(narrow.select("row", "slice", "lead"), f"{folder}/narrow")
+    rows = join_sized(rows, narrow, "row")
+    rows = materialize(rows.repartition("batch", "slice"), f"{folder}/items", ["batch", "slice"])  # a file for each slice
     return rows, sorted((r.batch, r.slice) for r in rows.select("batch", "slice").distinct().collect())
 
 
