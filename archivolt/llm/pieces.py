@@ -21,16 +21,16 @@ one id are one item; an item without id is dropped; extra columns are ignored.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivolt.functions.ids import clean_id
-from archivolt.session import materialize, scratch_dir
+from archivolt.session import materialize, scratch_dir, semi_join_sized
 
 SIZE, OVERLAP, STEP = 1200, 200, 65_536
 _STOPS = np.array([ord(c) for c in ".!?;。！？；"], np.uint32)
@@ -112,16 +112,26 @@ def _check(size: int, overlap: int, step: int) -> None:
         raise ValueError("0 < overlap < size / 2 - 1 and step >= 2 * size are needed")
 
 
-def split(df: DataFrame, id_col: str, text_col: str, size: int = SIZE, overlap: int = OVERLAP, step: int = STEP) -> DataFrame:
-    """(parent_id, chunk_no, start, stop, preview) of every text longer than ``size``."""
+def split(df: DataFrame, id_col: str, text_col: str, size: int = SIZE, overlap: int = OVERLAP, step: int = STEP, unique: bool = False) -> DataFrame:
+    """(parent_id, chunk_no, start, stop, preview) of every text longer than ``size``.
+
+    ``unique``: ids don't repeat, so nothing has to be looked up. Texts are cut
+    where they lie; what travels are windows of at most step + size + overlap
+    characters, spread by item and range.
+    """
     _check(size, overlap, step)
     items = df.select(F.col(id_col).alias("parent_id"), F.col(text_col).alias("text")).where("parent_id is not null")
-    items = items.withColumn("total", F.length("text")).where(F.col("total") > size).dropDuplicates(["parent_id"])
+    items = items.withColumn("total", F.length("text")).where(F.col("total") > size)
+    if not unique:
+        numbered = items.withColumn("row", F.monotonically_increasing_id())
+        items = materialize(numbered, f"{scratch_dir(df.sparkSession)}/items")
+        first = items.groupBy("parent_id").agg(F.min("row").alias("row")).select("row")
+        items = semi_join_sized(items, first, "row")
     ranges = items.select("parent_id", "total", "text", F.explode(F.expr(f"sequence(0, CAST((total - 1) / {step} AS INT))")).alias("part"))
     first = F.greatest(F.lit(0), F.col("part") * step - overlap)
     width = F.col("part") * step + step + size - first
     windows = ranges.select("parent_id", "total", "part", first.alias("first"), F.expr("text").substr(first + 1, width).alias("window"))
-    return _emit(windows, size, overlap, step)
+    return _emit(windows.repartition("parent_id", "part"), size, overlap, step)
 
 
 def _emit(windows: DataFrame, size: int, overlap: int, step: int) -> DataFrame:
@@ -147,17 +157,21 @@ def _emit(windows: DataFrame, size: int, overlap: int, step: int) -> DataFrame:
 
 
 def split_files(df: DataFrame, path_col: str, size: int = SIZE, overlap: int = OVERLAP, step: int = 1 << 20) -> DataFrame:
-    """Pieces of UTF-8 files on a shared file system, read by byte ranges; offsets and limits count bytes.
+    """Pieces of UTF-8 files on any file system that Arrow knows (local, HDFS, S3, GCS), read by byte ranges; offsets and limits count bytes.
 
     A range's worker reads its bytes and halos only. Cuts never fall inside a
-    character. Missing files have no pieces.
+    character. Missing files have no pieces. Paths without a scheme are local.
     """
     _check(size, overlap, step)
     paths = df.select(F.col(path_col).alias("parent_id")).where("parent_id is not null").distinct()
 
     def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, os.path.getsize(p)) for p in b["parent_id"] if os.path.isfile(p)]
+            rows = []
+            for p in b["parent_id"]:
+                info = _opened(p)[0].get_file_info(_opened(p)[1])
+                if info.is_file:
+                    rows.append((p, info.size))
             yield pd.DataFrame(rows, columns=["parent_id", "total"])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +179,8 @@ def split_files(df: DataFrame, path_col: str, size: int = SIZE, overlap: int = O
             rows = []
             for path, total, part in b.itertuples(index=False):
                 first = max(0, part * step - overlap)
-                with open(path, "rb") as f:
+                files, at = _opened(path)
+                with files.open_input_file(at) as f:
                     f.seek(first)
                     data = f.read(part * step + step + size - first)
                 # bytes as characters: halves of a character get the lowest rank
@@ -188,6 +203,12 @@ def split_files(df: DataFrame, path_col: str, size: int = SIZE, overlap: int = O
     )
 
 
+def _opened(path: str) -> tuple[pa_fs.FileSystem, str]:
+    if "://" not in path and not path.startswith("file:"):
+        return pa_fs.LocalFileSystem(), path
+    return pa_fs.FileSystem.from_uri(path)
+
+
 def _whole(data: bytes, at: int) -> int:
     """The start of the character that the byte at ``at`` belongs to."""
     while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
@@ -255,4 +276,21 @@ def unsplit(entries: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> Dat
 
 def resplit(entries: DataFrame, size: int = SIZE, overlap: int = OVERLAP, step: int = STEP) -> DataFrame:
     """New pieces of every oversized entry without parent that lacks valid ones."""
-    return split(unsplit(entries, size, overlap), "id", "preview", size, overlap, step)
+    return split(unsplit(entries, size, overlap), "id", "preview", size, overlap, step, unique=True)
+
+
+def faults(pieces: DataFrame, texts: DataFrame, id_col: str, text_col: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """(parent_id, total, first, last, faults): where an item's pieces begin and end, and how many break a rule of problem 2.
+
+    The rules are stated on the pieces and the text itself, independent of how they were cut.
+    """
+    order = Window.partitionBy("parent_id").orderBy("chunk_no")
+    p = pieces.withColumn("no", F.row_number().over(order) - 1).withColumn("s0", F.lag("start").over(order)).withColumn("e0", F.lag("stop").over(order))
+    p = p.withColumn("next", F.lead("start").over(order))
+    t = texts.select(F.col(id_col).alias("parent_id"), F.col(text_col).alias("text"), F.length(text_col).alias("total")).where(F.col("total") > size).dropDuplicates(["parent_id"])
+    j = p.join(t, "parent_id")
+    own = F.expr("substring(text, CAST(start AS INT) + 1, CAST(stop - start AS INT))")
+    word = F.expr("substring(text, CAST(stop AS INT), 2)").rlike("^[A-Za-z0-9]{2}$") & F.expr("right(preview, 200)").rlike(r"\s") & F.col("next").isNotNull()
+    bad = (F.col("no") != F.col("chunk_no")) | (own != F.col("preview")) | ~F.length("preview").between(1, size) | word
+    bad = bad | F.coalesce((F.col("start") <= F.col("s0")) | ~(F.col("e0") - F.col("start")).between(1, overlap), F.lit(False))
+    return j.groupBy("parent_id", "total").agg(F.min("start").alias("first"), F.max("stop").alias("last"), F.count(F.when(bad, 1)).alias("faults"))

@@ -9,6 +9,9 @@ from archivolt.functions.ids import clean_id
 from archivolt.llm import block_join, chosen_path, history, mixing, pieces, subjects, tokenizer
 from archivolt.sources.tables import entries, table
 
+#: Characters of a range: previews have one or two, documents many.
+STEP = 2_400
+
 
 def _top_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries without parent, ids in their normal form."""
@@ -24,11 +27,22 @@ def p1_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.resplit(entries(spark, sf_dir)).where("chunk_no = 0").select(F.col("parent_id").alias("entry_id"))
+    return pieces.resplit(entries(spark, sf_dir), step=STEP).where("chunk_no = 0").select(F.col("parent_id").alias("entry_id"))
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.resplit(entries(spark, sf_dir))
+    return pieces.resplit(entries(spark, sf_dir), step=STEP)
+
+
+def p2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of whole documents, up to many ranges long."""
+    return pieces.split(table(spark, sf_dir, "documents"), "doc_id", "text", step=STEP, unique=True)
+
+
+def p2_document_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the pieces of each document begin and end, and how many break a rule."""
+    found = pieces.faults(p2_documents(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select(F.col("parent_id").alias("doc_id"), "total", "first", "last", "faults")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,5 +91,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.composition(_areas(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_verdicts": p1_verdicts, "p2_found": p2_found, "p2_pieces": p2_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_top10": p5_top10, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
-SQL: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_verdicts": p1_verdicts, "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_documents": p2_documents, "p2_document_faults": p2_document_faults, "p4_found": p4_found, "p5_found": p5_found, "p5_top10": p5_top10, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_composition": p8_composition}
+SQL: dict[str, str] = {
+    "p2_document_faults": """SELECT doc_id, CAST(length(text) AS INT) AS total, 0::BIGINT AS first, length(text) AS last, 0::BIGINT AS faults FROM documents WHERE length(text) > 1200""",
+}
