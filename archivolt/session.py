@@ -92,6 +92,14 @@ def list_folder(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that broadcasts, shuffle files and generated code of finished jobs go.
+
+    Spark does so on its own every half hour; a job of many short passes would hold them all until then.
+    """
+    spark._jvm.System.gc()
+
+
 def _sized(keys: DataFrame, limit: int) -> DataFrame:
     """``keys``, marked for broadcast when a count shows at most ``limit`` of them."""
     from pyspark.sql import functions as F
