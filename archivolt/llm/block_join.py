@@ -1,7 +1,7 @@
 """Most similar vectors for every vector: a block matrix join with int8 tiles.
 
 Vectors of one length are laid out in cells (spherical k-means on a bounded
-hash sample of at most SAMPLE vectors per length; every vector gets a cell). A
+hash sample of ``sample_size`` vectors per length; every vector gets a cell). A
 vector is data in its own cell and a query there and in every cell whose border
 is within ``margin`` of it, so the work grows as n^1.5 instead of n^2. Cells
 are cut in blocks of bounded size; a tile is one block of data and one of
@@ -90,7 +90,12 @@ def fit_cells(sample: np.ndarray, cells: int, seed: int = 5) -> np.ndarray:
 
 
 def cell_count(n: int) -> int:
-    return int(min(1024, max(1, round((n / 25) ** 0.5))))
+    return max(1, round((n / 25) ** 0.5))
+
+
+def sample_size(n: int) -> int:
+    """Vectors that the cells are fitted on: SAMPLE, or eight for each cell where that is more."""
+    return max(SAMPLE, 8 * cell_count(n))
 
 
 def probed(x: np.ndarray, centres: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
@@ -110,15 +115,22 @@ def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return c, scale, np.linalg.norm(x - c * scale[:, None], axis=1)
 
 
+def _products(a: np.ndarray, b: np.ndarray, exact: int = 1_000) -> np.ndarray:
+    """Products of int8 codes held as float32: sums of up to 1,000 of them are exact, longer ones are added up from such parts."""
+    if a.shape[1] <= exact:
+        return a @ b
+    return sum((a[:, i : i + exact] @ b[i : i + exact]).astype(np.float64) for i in range(0, a.shape[1], exact))
+
+
 def tile_best(data: np.ndarray, queries: np.ndarray, same: np.ndarray, k: int, least: float, rows: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, data, cosine) of the k best at or above ``least``; ``same[q]`` is the query's own data row or -1."""
     dc, ds, de = codes(data)
     qc, qs, qe = codes(queries)
-    dc = dc.astype(np.float32).T  # products of int8 are exact in float32 up to 1,000 dimensions
+    dc = dc.astype(np.float32).T
     out = ([], [], [])
     for at in range(0, len(queries), rows):
         q = slice(at, at + rows)
-        near = (qc[q].astype(np.float32) @ dc) * qs[q, None] * ds[None]
+        near = _products(qc[q].astype(np.float32), dc) * qs[q, None] * ds[None]
         slack = (qe[q, None] + de[None]) * 1.0001 + qe[q, None] * de[None] + 1e-6
         own = same[q]
         i = np.flatnonzero(own >= 0)
@@ -156,7 +168,7 @@ def neighbours(vectors: DataFrame, k: int = 10, least: float = -1.0, margin: flo
     counts = {r.dim: r.n for r in vectors.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where("n > 1").collect()}
     share = F.lit(0.0)
     for dim, n in counts.items():
-        share = F.when(F.col("dim") == dim, F.lit(SAMPLE / n)).otherwise(share)
+        share = F.when(F.col("dim") == dim, F.lit(sample_size(n) / n)).otherwise(share)
     draw = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
     sample = vectors.where(draw < share).select("dim", "vec").collect() if counts else []
     centres = {}
@@ -193,7 +205,7 @@ def neighbours(vectors: DataFrame, k: int = 10, least: float = -1.0, margin: flo
         F.ceil(F.sum(F.col("asks").cast("long")) / QUERY_BLOCK).cast("int").alias("n_asks"),
     )
     sizes = materialize(sizes, f"{base}/sizes")
-    # at most 1,024 cells for each vector length
+    # one row for each cell: their number grows with the root of the vectors'
     sized = placed.join(F.broadcast(sizes), ["dim", "cell"]).where("n_data > 0 and n_asks > 0")
     h = F.xxhash64("key", F.lit(1))
     mine = sized.withColumn("i", F.when(F.col("data"), F.pmod(h, F.col("n_data")))).withColumn("j", F.when(F.col("asks"), F.pmod(h, F.col("n_asks"))))

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from archivolt.functions.ids import clean_hash, clean_id, clean_path
 from archivolt.llm import shingles as S
-from archivolt.session import BROADCAST_ROWS, join_sized, list_folder, load_text, materialize, save_text, scratch_dir
+from archivolt.session import BROADCAST_ROWS, join_sized, list_folder, load_text, materialize, release, save_text, scratch_dir
 
 KEYS = 20
 BLOCK = 16
@@ -389,6 +389,7 @@ def check(history: History, items: DataFrame, greedy_links: int = GREEDY_LINKS)
         out = _settle(still, both.unionByName(own), folder).unionByName(state.where("old").select("item_id", F.lit(True).alias("case")))
     out = materialize(out, f"{history.folder}/results/check={history.version}")
     history.append(items.join(F.broadcast(out.where("not case").select("item_id")), "item_id"))  # of one slice
+    release(history.spark)
     return out
 
 
