@@ -572,7 +572,7 @@ def cache_eviction(spark, sf):
 # --- kinds, hashed vectors, summaries -----------------------------------------------------------
 
 _KIND = " ".join(
-    "WHEN ext IN ({}) THEN '{}'".format(", ".join(f"'{e}'" for e in names.split()), "text" if kind == "office" else kind) for kind, names in EXTENSIONS.items()
+    "WHEN ext IN ({}) THEN '{}'".format(", ".join(f"'{e}'" for e in names), "text" if kind == "office" else kind) for kind, names in EXTENSIONS.items()
 )
 
 

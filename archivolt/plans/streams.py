@@ -51,7 +51,7 @@ def stream_search_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.drain(near, folder)
 
 
-def stream_user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_each_user_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each user and type over a sliding week, kept as state for one day more."""
     events, folder = _arriving(spark, sf_dir, "events")
     week = Z.event_time(events, "ts", "1 day").groupBy(F.window("at", "7 days", "1 day"), "user_id", "event_type")
@@ -77,7 +77,8 @@ def stream_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.drain_updates(seen, folder, ["id"])
 
 
-QUERIES = {f.__name__: f for f in (stream_dedup, stream_daily_gaps, stream_sliding_gaps, stream_search_get, stream_user_totals, stream_type_totals, stream_last_seen)}
+QUERIES = {f.__name__: f for f in (stream_dedup, stream_daily_gaps, stream_sliding_gaps, stream_search_get, stream_each_user_totals, stream_type_totals, stream_last_seen)}
+QUERIES["stream_user_totals"] = stream_each_user_totals
 _WEEK = """SELECT strftime(d, '%Y-%m-%d') AS from_day, {0} event_type, count(*) AS n, round(sum(value), 4) AS total FROM (
   SELECT user_id, event_type, value, unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS d FROM events) GROUP BY ALL"""
 SQL = {
@@ -90,6 +91,7 @@ WHERE trim(query) <> '' AND (n = 0 OR top_score < 0.012) GROUP BY 1""",
     "stream_search_get": """SELECT v.event_id AS search_id, c.event_id AS get_id, CAST(epoch(c.ts) - epoch(v.ts) AS BIGINT) AS seconds FROM events v JOIN events c
 ON v.user_id = c.user_id AND v.event_type = 'view' AND c.event_type = 'click' AND c.ts >= v.ts AND c.ts <= v.ts + INTERVAL 300 SECOND""",
     "stream_user_totals": _WEEK.format("user_id,"),
+    "stream_each_user_totals": _WEEK.format("user_id,"),
     "stream_type_totals": _WEEK.format(""),
     "stream_last_seen": """SELECT lower(trim(top_id)) AS id, max(ts) AS last_ts, count(*) AS times FROM query_log WHERE nullif(trim(top_id), '') IS NOT NULL
 AND try_cast(ts AS TIMESTAMP) IS NOT NULL GROUP BY 1""",

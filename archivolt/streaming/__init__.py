@@ -19,7 +19,7 @@ def arriving(df: DataFrame, column: str, folder: str, parts: int = 4) -> DataFra
 
     The files are written one after the other: the source takes them by age.
     """
-    rows = materialize(df.withColumn("_at", F.col(column).cast("timestamp").cast("double")).where("_at is not null"), f"{folder}/rows")
+    rows = materialize(df.withColumn("_at", F.col(column).try_cast("timestamp").cast("double")).where("_at is not null"), f"{folder}/rows")
     cuts = rows.approxQuantile("_at", [i / parts for i in range(1, parts)], 0.001)
     edges = [None, *cuts, None]
     for low, high in zip(edges, edges[1:], strict=False):
@@ -39,7 +39,7 @@ def read_folder(spark: SparkSession, schema, path: str) -> DataFrame:
 
 def event_time(df: DataFrame, column: str, watermark: str, name: str = "at") -> DataFrame:
     """``column`` as a timestamp with a watermark; rows without a readable time are dropped."""
-    return df.withColumn(name, F.col(column).cast("timestamp")).where(F.col(name).isNotNull()).withWatermark(name, watermark)
+    return df.withColumn(name, F.col(column).try_cast("timestamp")).where(F.col(name).isNotNull()).withWatermark(name, watermark)
 
 
 def drain(df: DataFrame, folder: str) -> DataFrame:

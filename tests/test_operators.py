@@ -104,15 +104,28 @@ def test_sized_joins(spark):
     assert sorted(r.k for r in one_per_key(df, "k", scratch_dir(spark)).collect()) == [1, 2, 3]
 
 
-def test_streams_drain(spark, tmp_path):
+def test_streams_resume_where_they_stopped(spark, tmp_path):
+    """Two files, then a third one for a second run from the same checkpoint."""
     from archivolt import streaming as Z
 
-    at = dt.datetime(2025, 1, 1)
-    log = spark.createDataFrame([("2025-01-01T00:00:00Z", "a"), ("2025-01-01T00:00:00Z", "a"), (None, "b"), ("2025-01-02T00:00:00Z", "a")], "ts string, query string")
-    log.coalesce(1).write.parquet(str(tmp_path / "t" / "log.parquet"))
-    stream = Z.event_time(Z.table_stream(spark, str(tmp_path / "t"), "log"), "ts", "10 days").dropDuplicatesWithinWatermark(["ts", "query"])
-    assert Z.drain(stream.select("ts", "query"), str(tmp_path / "o")).count() == 2
-    assert at.year == 2025
+    rows = [(f"2025-01-0{d}T0{h}:00:00Z", q) for d in (1, 2, 3) for h in (1, 1, 2) for q in ("a", "b")]
+    log = spark.createDataFrame([*rows, (None, "c"), ("never", "c")], "ts string, query string")
+    source = str(tmp_path / "in")
+    for day in ("01", "02"):
+        log.where(f"ts like '2025-01-{day}%'").coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = Z.event_time(Z.read_folder(spark, log.schema, source), "ts", "2 days")
+        counted = stream.groupBy(F.window("at", "3 days").alias("w"), "query").agg(F.count(F.lit(1)).alias("n")).select("query", F.col("w.start").cast("string").alias("w"), "n")
+        return {(r.query, r.w): r.n for r in Z.drain_updates(counted, str(tmp_path / "out"), ["query", "w"]).collect()}
+
+    first = run()
+    assert sum(first.values()) == 12
+    log.where("ts like '2025-01-03%'").coalesce(1).write.mode("append").parquet(source)
+    assert sum(run().values()) == 18 and run() == run()
+    arrived = Z.arriving(log, "ts", str(tmp_path / "again"), parts=3)
+    once = Z.event_time(arrived, "ts", "1 hour").dropDuplicatesWithinWatermark(["ts", "query"]).select("ts", "query")
+    assert Z.drain(once, str(tmp_path / "again")).count() == 12
 
 
 def test_stream_totals_of_each_user(spark, tmp_path):
@@ -133,13 +146,163 @@ def test_kinds_and_files(spark, tmp_path):
     assert [r[0] for r in names.select(kind_of(extension("p"))).collect()] == ["code", "video", "binary", "binary", "text", "model"]
     for name, data in {
         "n.md": "# 标题\n".encode(), "g.txt": ("汉字内容" * 50).encode("gb18030"), "t.ts": b"let x: number = 1;", "c.png": b"\x89PNG\r\n\x1a\n\0\0", "b.bin": b"\0\1\2" * 9,
-        ".git/config": b"x", "sub/p.pdf": b"%PDF-1.4 x", "sub/w.wav": b"RIFF\0\0\0\0WAVEfmt",
+        ".git/config": b"x", "long.bin": ("汉" * 3000).encode("gb18030")[:4999], "cut.xyz": b"\xff" * 50, "sub/p.pdf": b"%PDF-1.4 x", "sub/w.wav": b"RIFF\0\0\0\0WAVEfmt",
     }.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(data)
     found = files.scan(spark, str(tmp_path))
     kinds = {r.path.rsplit("/", 1)[1]: r.kind for r in found.collect()}
-    assert kinds == {"n.md": "text", "g.txt": "text", "t.ts": "code", "c.png": "image", "b.bin": "binary", "p.pdf": "pdf", "w.wav": "audio"}
+    assert kinds == {"n.md": "text", "g.txt": "text", "t.ts": "code", "c.png": "image", "b.bin": "binary", "p.pdf": "pdf", "w.wav": "audio", "long.bin": "text", "cut.xyz": "binary"}
     text = {r.path.rsplit("/", 1)[1]: r.text for r in files.read_text(found).collect()}
     assert text["n.md"] == "# 标题\n" and text["g.txt"].startswith("汉字") and text["c.png"] is None
+    short = {r.path.rsplit("/", 1)[1]: (r.text, r.truncated) for r in files.read_text(found, 7).collect()}
+    assert short["n.md"] == ("# 标", True) and short["g.txt"] == ("汉字内", True) and short["c.png"] == (None, None)
     assert files.changed(found, found.select("path", "size", "mtime")).count() == 0
+
+
+def test_notebooks_office_files_and_logs(spark, tmp_path):
+    import io
+    import json
+    import zipfile
+
+    from archivolt.sources import files
+
+    book = {"cells": [{"cell_type": "markdown", "source": ["# T\n", "x"]}, {"cell_type": "code", "source": ["print(1)"], "outputs": [{"data": "AAAA"}]}, {"cell_type": "code", "source": []}]}
+    zipped = io.BytesIO()
+    with zipfile.ZipFile(zipped, "w") as z:
+        z.writestr("word/document.xml", "<w:p><w:t>Eins &amp; </w:t><w:t>zwei</w:t></w:p><w:p></w:p><w:p><w:t>drei</w:t></w:p>")
+        z.writestr("word/styles.xml", "<x>no</x>")
+    rows = [("a.ipynb", bytearray(json.dumps(book).encode())), ("b.docx", bytearray(zipped.getvalue())), ("c.docx", bytearray(b"PK broken"))]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    assert df.where("path = 'a.ipynb'").select(files.notebook_text()).first()[0] == "# T\nx\n\nprint(1)"
+    assert {r.path: r.text for r in files.office_text(df.where("path <> 'a.ipynb'")).collect()} == {"b.docx": "Eins & zwei\ndrei", "c.docx": None}
+    (tmp_path / "log.jsonl").write_text('{"ts": "1", "n": 2}\nnot json\n\n{"ts": "3"}\n')
+    assert [tuple(r) for r in files.log_lines(spark, str(tmp_path / "log.jsonl"), "ts string, n int").orderBy("ts").collect()] == [("1", 2), ("3", None)]
+
+
+def reference_keywords(text):
+    import re
+
+    low, out = text.lower(), {}
+    for w in re.findall("[a-z0-9]{2,}", low):
+        if w not in T.EN_STOP and not w.isdigit():
+            out[w] = out.get(w, 0) + 1
+    for run in re.findall("[\u4e00-\u9fff]+", low):
+        for i in range(len(run) - 1):
+            if not set(run[i : i + 2]) & set(T.ZH_STOP):
+                out[run[i : i + 2]] = out.get(run[i : i + 2], 0) + 1
+    return out
+
+
+def test_keywords_outlines_titles_paragraphs(spark):
+    texts = ["The cache and the cache of 42 caches", "红烧肉的做法，红烧肉好吃", "", None, "mixed 中文混排 mixed text 中文"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {}
+    for r in T.keyword_counts(df, "id", "t").collect():
+        got.setdefault(r.id, {})[r.term] = r.n
+    assert got == {i: w for i, t in enumerate(texts) if t and (w := reference_keywords(t))}
+    code = "import x\n\nclass A:\n    def f(self):\n        pass\n    async def g(self): pass\nfunc main() {\nclass A:\n"
+    titled = spark.createDataFrame([("/a/b.c.md", "\n\n## Head #1 \nx"), ("/a/b.c.md", "text\n# late"), (".env", None), (None, "#"), ("noext", code)], "p string, t string")
+    assert [r[0] for r in titled.select(T.title("p", "t")).collect()] == ["Head #1", "b.c", ".env", "", "noext"]
+    assert titled.where("p = 'noext'").select(T.code_outline("t")).first()[0] == "class A；def f(self)；async def g(self): pass；func main()"
+    long = "x" * 3000
+    docs = spark.createDataFrame([(1, "aa\n\nbb\n \ncc"), (2, f"aa\n\n{long}\n\ncc"), (3, ""), (4, None), (5, "y" * 700 + "\n\n" + "z" * 600)], "id int, t string")
+    pieces = {}
+    for r in T.merged_paragraphs(docs, "id", "t").orderBy("id", "no").collect():
+        pieces.setdefault(r.id, []).append(r.piece)
+    assert pieces == {1: ["aa\nbb\ncc"], 2: ["aa", "x" * 1200, "x" * 1200, "x" * 1000, "cc"], 5: ["y" * 700, "z" * 600]}
+
+
+def test_grams_are_all_there(spark):
+    texts = ["ab", "abc", "A  b\nC", None, "日本語x" * 700]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    flat = [" ".join((t or "").lower().split()) for t in texts]
+    want = sorted((i, f[k : k + 3]) for i, f in enumerate(flat) for k in range(len(f) - 2))
+    assert sorted((r.id, r.gram) for r in T.gram_rows(df, ["id"], "t").collect()) == want
+
+
+def test_queries_are_compiled(spark):
+    q = spark.createDataFrame([("a", "红烧肉 Fox2"), ("b", "自注意力机制x面对行刑队"), ("c", "*?!"), ("d", None)], "qid string, query string")
+    rows = {(r.qid, r.term, r.pos, r.pair) for r in R.compiled(q).collect()}
+    assert {r for r in rows if r[0] == "a"} == {("a", "红 烧 肉", -1, False), ("a", "fox2", -1, False)}
+    b = sorted((p, t) for i, t, p, pair in rows if i == "b" and pair)
+    assert [t for _, t in b] == ["自 注", "注 意", "意 力", "力 机", "机 制", "面 对", "对 行", "行 刑", "刑 队"] and b[5][0] - b[4][0] == 2
+    assert {r[0] for r in rows} == {"a", "b"}
+
+
+def test_long_cjk_queries_need_neighbouring_pairs(spark):
+    """Three characters in a row are enough, two pairs apart aren't; also beyond the 62 places of a mask."""
+    alphabet = [chr(0x4E00 + i) for i in range(400)]
+    query = "".join(alphabet[:150])
+    texts = {"run": "x".join(["".join(alphabet[60:63])]), "apart": alphabet[3] + alphabet[4] + " y " + alphabet[9] + alphabet[10], "late": "".join(alphabet[123:126]), "none": "".join(alphabet[200:220])}
+    docs = C.catalog(spark.createDataFrame([entry(i, preview=t) for i, t in texts.items()], ENTRY), "title", "summary", "keywords", "preview", "parent_id")
+    got = {r.id for r in R.bm25(docs, spark.createDataFrame([("q", query)], "qid string, query string")).collect()}
+    assert got == {"run", "late"}
+
+
+def test_vector_tiles_and_hashed_vectors(spark):
+    import hashlib
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 8)).round(3)
+    x[7] = x[8]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, embedding array<float>")
+    u = (x.astype(np.float32).astype(float) / np.linalg.norm(x.astype(np.float32).astype(float), axis=1)[:, None])
+    s = np.round(u @ u.T, 6)
+    np.fill_diagonal(s, -9)
+    want = {i: [int(j) for j in sorted(range(300), key=lambda j: (-s[i, j], j))[:5]] for i in range(0, 300, 20)}
+    for blocks in ((2048, 8192), (4, 40)):
+        got = {}
+        for r in R.cosine_top(v.where("id % 20 = 0"), v, 5, query_block=blocks[0], vector_block=blocks[1]).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append(r.id)
+        assert got == want
+    t = spark.createDataFrame([(1, "Ab  cd"), (2, None), (3, "ab cd")], "id int, t string")
+    rows = {r.id: r.embedding for r in R.hashed_vectors(t, "id", "t", dim=64).collect()}
+    own = np.zeros(64)
+    for g in ("ab ", "b c", " cd"):
+        h = hashlib.blake2b(g.encode(), digest_size=8).digest()
+        own[int.from_bytes(h[:4], "little") % 64] += 1 if h[4] & 1 else -1
+    assert np.allclose(rows[1], own / np.linalg.norm(own)) and rows[1] == rows[3] and not any(rows[2])
+
+
+def test_writes(spark, tmp_path):
+    from archivolt.operators import writes as W
+
+    rows = [entry("a"), entry("a1", parent_id="A "), entry("b", status="pending", version=3, size=5), entry("b1", parent_id="b", status="pending"), entry("c", content_hash="1" * 64, source_path="/c")]
+    cat = C.catalog(spark.createDataFrame(rows, ENTRY), "parent_id", "version", "size", "content_hash", "source_path", "collection", "preview")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    assert {r.id for r in W.deleted(cat, ids("a", "a", "zz")).collect()} == {"b", "b1", "c"}
+    assert {r.id for r in W.approved(cat, ids("b", "a")).where("status = 'active'").collect()} == {"a", "a1", "b", "b1", "c"}
+    changes = spark.createDataFrame([("b", 1, 9, None), ("b", 2, 7, None), ("n", 1, 1, "x")], "id string, at int, size bigint, collection string")
+    got = {r.id: (r.size, r.collection, r.version) for r in W.merged(cat, changes, ["at"], ["size", "collection"]).collect()}
+    assert got["b"] == (7, "c", 5) and got["n"] == (1, "x", 1) and got["a"] == (1, "c", 1)
+    tags = spark.createDataFrame([("A", " X "), ("a", "y"), (None, "z")], "entry_id string, tag string")
+    new = spark.createDataFrame([("a", "w"), ("b", "y")], tags.schema)
+    assert {tuple(r) for r in W.retagged(tags, new, spark.createDataFrame([("a", "Y")], tags.schema)).collect()} == {("a", "x"), ("a", "w"), ("b", "y")}
+    W.exported(cat, tags, str(tmp_path / "out"), collection="c")
+    (tmp_path / "out" / "part-bad.json").write_text('no json\n{"title": "no id"}\n{"id": "N1", "blob": "' + "2" * 64 + '"}\n')
+    known = cat.where("id in ('a', 'b')").unionByName(cat.where("id = 'c'").withColumn("id", F.lit("c0")))
+    blobs = spark.createDataFrame([("3" * 64,)], "digest string")
+    got = sorted((r.id or "", r.entry_id or "", r.matched) for r in W.imported(spark, str(tmp_path / "out"), known, blobs).collect())
+    assert got == [("", "", "failed"), ("", "", "failed"), ("a", "a", "updated"), ("a1", "a1", "imported"), ("b", "b", "updated"), ("b1", "b1", "imported"), ("c", "c0", "updated"), ("n1", "n1", "skipped")]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    import pytest
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                return type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))})
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda name, default=None: default)})
+        sparkContext = Context  # noqa: N815
+
+    with pytest.raises(ValueError):
+        scratch_dir(Session)
