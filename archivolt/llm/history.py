@@ -172,14 +172,17 @@ class History:
                 lows.append(found.get(z, lows[-1]))
         return Run(number, lows)
 
-    def append(self, rows: DataFrame) -> None:
-        """Add a run of described rows. Of each class one row stays; only the list of these rows is shuffled."""
+    def append(self, rows: DataFrame, bounded: bool = False) -> None:
+        """Add a run of described rows, of a slice if ``bounded``. Of each class one row stays; only the list of these rows is shuffled."""
         paths = F.when(F.col("path").isNotNull(), F.col("path"))
         chosen = rows.where("cls is not null").groupBy("cls").agg(
             F.min("row").alias("row"), F.min(paths).alias("low"), F.max(paths).alias("high"), F.max(F.col("path").isNull()).alias("loose")
         )
-        chosen = materialize(chosen.drop("cls"), f"{self.folder}/chosen{self.version}")
-        held = join_sized(rows.drop("path"), chosen, "row")
+        chosen = chosen.drop("cls")
+        if bounded:
+            held = rows.drop("path").join(F.broadcast(chosen), "row")
+        else:
+            held = join_sized(rows.drop("path"), materialize(chosen, f"{self.folder}/chosen{self.version}"), "row")
         hashes = rows.where("hash is not null").select("hash").distinct()
         classes = held.select("cls", "low", "high", "loose", *_LONGS, "text")
         self._commit([*self.runs, self._write(classes, hashes, key_rows(held, "cls", "runs", *_HALF))])
@@ -329,15 +332,15 @@ def _in_batch(keyed: DataFrame) -> DataFrame:
     return by_place.select(x, y, *longs).unionByName(by_key.select(x, y, *longs))
 
 
-def check(history: History, items: DataFrame, greedy_links: int = GREEDY_LINKS) -> DataFrame:
-    """(item_id, case) of a slice of ``arrivals``, in the order of ids; accepted items are added to the history.
+def check(history: History, items: DataFrame, classes: int | None = None, greedy_links: int = GREEDY_LINKS) -> DataFrame:
+    """(item_id, case) of a slice of ``arrivals`` with ``classes`` classes, in the order of ids; accepted items are added to the history.
 
     Up to ``greedy_links`` links between the classes of a slice its items are settled one after the other in one
     task (a slice is bounded), beyond that in rounds; the result is the same.
     """
     folder = f"{history.folder}/check{history.version}"
     xs = items.where("lead").select("row", "cls", "runs", "sig", *_LONGS, "text")
-    n = xs.count()
+    n = xs.count() if classes is None else classes
     x, y, longs = F.col("a.cls").alias("x"), F.col("b.cls").alias("y"), [F.col(f"a.{s}") for s in _LONGS]
     met = _in_batch(key_rows(xs, "cls", "runs", *_LONGS)).withColumn("old", F.lit(False))
     wide = 0
@@ -388,7 +391,7 @@ def check(history: History, items: DataFrame, greedy_links: int = GREEDY_LINKS)
         own = still.where("cls is not null").select(F.col("cls").alias("x"), F.col("cls").alias("y")).distinct()
         out = _settle(still, both.unionByName(own), folder).unionByName(state.where("old").select("item_id", F.lit(True).alias("case")))
     out = materialize(out, f"{history.folder}/results/check={history.version}")
-    history.append(items.join(F.broadcast(out.where("not case").select("item_id")), "item_id"))  # of one slice
+    history.append(items.join(F.broadcast(out.where("not case").select("item_id")), "item_id"), bounded=True)
     release(history.spark)
     return out
 
@@ -403,8 +406,8 @@ def base_history(entries: DataFrame, folder: str) -> History:
     return history
 
 
-def arrivals(batches: DataFrame, slice_rows: int = SLICE) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """Described items with their batch, slice and ``lead`` (one item of each class of a slice); the slices in order."""
+def arrivals(batches: DataFrame, slice_rows: int = SLICE) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """Described items with their batch, slice and ``lead`` (one item of each class of a slice); the slices in order with their classes."""
     items = batches.where("item_id is not null").withColumn("batch", F.coalesce("batch_no", F.lit(-(1 << 31))))
     first = items.groupBy("item_id").agg(F.min("batch").alias("batch"))
     part = F.lit(0)
@@ -421,7 +424,8 @@ def arrivals(batches: DataFrame, slice_rows: int = SLICE) -> tuple[DataFrame, li
     narrow = materialize(narrow.select("row", "slice", "lead"), f"{folder}/narrow")
     rows = join_sized(rows, narrow, "row")
     rows = materialize(rows.repartition("batch", "slice"), f"{folder}/items", ["batch", "slice"])  # a file for each slice
-    return rows, sorted((r.batch, r.slice) for r in rows.select("batch", "slice").distinct().collect())
+    sizes = rows.groupBy("batch", "slice").agg(F.count(F.when(F.col("lead"), 1)).alias("classes"))
+    return rows, sorted((r.batch, r.slice, r.classes) for r in sizes.collect())
 
 
 def check_batches(entries: DataFrame, batches: DataFrame, slice_rows: int = SLICE, greedy_links: int = GREEDY_LINKS) -> DataFrame:
@@ -430,8 +434,8 @@ def check_batches(entries: DataFrame, batches: DataFrame, slice_rows: int = SLIC
     folder = scratch_dir(spark)
     history = base_history(entries, folder)
     items, slices = arrivals(batches, slice_rows)
-    for batch, part in slices:
-        check(history, items.where((F.col("batch") == batch) & (F.col("slice") == part)), greedy_links)
+    for batch, part, classes in slices:
+        check(history, items.where((F.col("batch") == batch) & (F.col("slice") == part)), classes, greedy_links)
     if not slices:
         return spark.createDataFrame([], "item_id bigint, case boolean, path string, batch int")
     results = spark.read.schema("item_id bigint, case boolean").option("recursiveFileLookup", "true").parquet(f"{folder}/results")

@@ -141,14 +141,62 @@ def test_history_against_item_by_item(spark):
     e = spark.createDataFrame([(*r, 1) for r in entries], "id string, parent_id string, source_path string, content_hash string, preview string, version int")
     b = spark.createDataFrame([(*r, "x") for r in items], "batch_no int, item_id bigint, source_path string, content_hash string, preview string, cls string")
     want = brute_cases(entries, items)
-    for slice_rows in (1000, 9):
-        got = history.check_batches(e, b, slice_rows=slice_rows).collect()
+    for slice_rows, greedy_links in ((1000, 1000), (30, 1000), (1000, -1)):  # whole batches, slices, rounds instead of one task
+        got = history.check_batches(e, b, slice_rows=slice_rows, greedy_links=greedy_links).collect()
         assert {r.item_id for r in got if r.case} == want
         assert len(got) == len({r[1] for r in items})
     versions = {r.item_id: (r.is_case, r.version) for r in history.verdicts(e, b).collect()}
     assert all((v is None) == case for case, v in versions.values())
 
 
+def described(spark, rows):
+    df = spark.createDataFrame(rows, "batch_no int, item_id bigint, source_path string, content_hash string, preview string")
+    items, slices = history.arrivals(df)
+    assert len(slices) == 1
+    return items
+
+
+def test_a_second_session_continues_a_history(spark):
+    """What an earlier session accepted is found through the folder alone; small batches read only ranges that they touch."""
+    from archivolt.session import materialize, scratch_dir
+
+    rng = random.Random(9)
+    texts = [text(rng) for _ in range(120)]
+    folder = scratch_dir(spark)
+    first = history.History(spark, folder, zone_rows=20, ranges=32)
+    base = spark.createDataFrame([(f"/e/{i}", H[i], texts[i]) for i in range(80)], "source_path string, content_hash string, preview string")
+    first.append(materialize(history.described(base, [], "source_path", "content_hash", "preview"), f"{folder}/base"))
+    out = history.check(first, described(spark, [(1, i, f"/i/{i}", None, texts[70 + i]) for i in range(20)]))
+    assert {r.item_id for r in out.collect() if r.case} == set(range(10))
+
+    again = history.History.open(spark, folder)
+    assert [r.number for r in again.runs] == [r.number for r in first.runs] and len(again.runs[0].lows) > 10
+    new = described(spark, [(2, 1, "/x", None, edited(rng, texts[85], 0.02)), (2, 2, "/y", H[3].upper(), None), (2, 3, "/z", None, text(rng)), (2, 4, "/i/12", H[300], texts[82])])
+    one = history.key_rows(new.where("item_id = 1"), "item_id")
+    wanted = again.keys().where(again.zones(one.select("key"), 20)).select("run", "zone").distinct().count()
+    assert wanted < again.keys().select("run", "zone").distinct().count()
+    assert len(again.touched(new.where("item_id = 1").select("cls"), "cls", 1)) == 1
+    assert {r.item_id: r.case for r in history.check(again, new).collect()} == {1: True, 2: True, 3: False, 4: False}
+    for n in range(3, 8):  # runs are merged on the way, and what they hold stays
+        again = history.History.open(spark, folder)
+        out = history.check(again, described(spark, [(n, 1, f"/b/{n}", H[200 + n], texts[100 + n]), (n, 2, "/q", None, texts[99 + n])]))
+        assert {r.item_id: r.case for r in out.collect()} == {1: False, 2: n > 3}
+    assert len(again.runs) <= history.COMPACT_EVERY + 1
+
+
+def test_hot_keys_go_beyond_the_window(spark):
+    """More texts share MinHash values with a new one than its window holds; the one that it resembles is found all the same."""
+    rng = random.Random(11)
+    common = text(rng, 200)
+    rows = [(f"/h/{i}", None, common + " " + text(rng, 150)) for i in range(150)]
+    entries = spark.createDataFrame([(f"e{i}", None, *r, 1) for i, r in enumerate(rows)], "id string, parent_id string, source_path string, content_hash string, preview string, version int")
+    items = [(1, 1, "/n/1", None, edited(rng, rows[77][2], 0.04)), (1, 2, "/n/2", None, common + " " + text(rng, 170)), (1, 3, "/h/5", None, edited(rng, rows[5][2], 0.02))]
+    items += [(1, 10 + i, f"/m/{i}", None, common + " " + text(rng, 150)) for i in range(30)]
+    b = spark.createDataFrame(items, "batch_no int, item_id bigint, source_path string, content_hash string, preview string")
+    want = brute_cases([(f"e{i}", None, *r) for i, r in enumerate(rows)], [(x[0], x[1], *x[2:]) for x in items])
+    assert {r.item_id for r in history.check_batches(entries, b).collect() if r.case} == want
+
+
 def test_history_without_rows(spark):
     e = spark.createDataFrame([], "id string, parent_id string, source_path string, content_hash string, preview string, version int")
     b = spark.createDataFrame([], "batch_no int, item_id bigint, source_path string, content_hash string, preview string")

@@ -153,6 +153,14 @@ def test_most_similar_against_brute_force(spark):
     assert block_join.most_similar(df.limit(0)).count() == 0
 
 
+def test_cells_and_products_have_no_limit():
+    assert block_join.cell_count(10**9) > 6000 and block_join.sample_size(10**9) == 8 * block_join.cell_count(10**9)
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(-127, 128, (3, 4097)), rng.integers(-127, 128, (4097, 5))
+    b[:, 0], a[0] = 127, 127
+    assert (block_join._products(a.astype(np.float32), b.astype(np.float32)) == a @ b).all()
+
+
 def test_tiles_lose_nothing(spark, monkeypatch):
     x = np.stack(vectors(300)).astype(np.float32)
     df = spark.createDataFrame([(i, x.shape[1], bytearray((v / np.linalg.norm(v)).tobytes())) for i, v in enumerate(x)], "key bigint, dim int, vec binary")
