@@ -87,11 +87,13 @@ def keyword_counts(df: DataFrame, id_col: str, col: str) -> DataFrame:
     return t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
 
 
-def index_terms(col: Column | str) -> Column:
-    """What a query may ask for: every token, and every two or three neighbouring CJK tokens as one term with blanks."""
-    text = F.concat(F.lit(" "), index_text(col), F.lit(" "))
+def index_terms(folded: str) -> Column:
+    """What a query may ask for in a column of ``index_text``: every token, and every two or three neighbouring CJK tokens as one term with blanks."""
+    none = F.array().cast("array<string>")
+    words = F.when(F.col(folded) != "", F.split(folded, " ")).otherwise(none)
+    text = F.concat(F.lit(" "), folded, F.lit(" "))
     runs = [F.regexp_extract_all(text, F.lit(f"(?<= )(?=([{CJK}](?: [{CJK}]){{{k}}}) )"), F.lit(1)) for k in (1, 2)]
-    return F.concat(tokens(col), *runs)
+    return F.when(F.col(folded).rlike(f"[{CJK}]"), F.concat(words, *runs)).otherwise(words)
 
 
 def segments(col: Column | str) -> Column:

@@ -47,32 +47,43 @@ def compiled(queries: DataFrame) -> DataFrame:
     return whole.distinct().unionByName(pairs.select("qid", "term", (F.col("start") + F.col("at")).cast("int").alias("pos"), F.lit(True).alias("pair")))
 
 
-def postings(docs: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((id, term, tf), (id, length)) of the asked terms; tf is weighted by field, length counts all tokens.
+def postings(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, term, tf) of the asked terms, weighted by field; the empty term holds the number of all tokens.
 
-    The texts are read once; a term that no query asks for leaves no row.
+    The texts are folded once (the generators keep the optimizer from repeating
+    it); a term that no query asks for leaves no row. Documents are spread by id
+    before they are cut, so that terms are counted where they are.
     """
     fields = F.array(*[F.struct(F.lit(w).alias("weight"), F.col(f).alias("text")) for f, w in WEIGHTS.items()])
-    each = docs.select("id", F.explode(fields).alias("f"))
-    found = each.select("id", F.col("f.weight").alias("weight"), F.explode(T.index_terms("f.text")).alias("term"))
-    tf = semi_join_sized(found, asked.select("term").distinct(), "term").groupBy("id", "term").agg(F.sum("weight").alias("tf"))
-    size = reduce(lambda a, b: a + b, [F.size(T.tokens(f)) for f in WEIGHTS])
-    return tf, docs.select("id", size.alias("length"))
+    each = docs.select("id", *WEIGHTS).repartition("id").select("id", F.explode(fields).alias("f"))
+    folded = each.select("id", F.col("f.weight").alias("weight"), F.explode(F.array(index_text("f.text"))).alias("t"))
+    count = F.when(F.col("t") != "", F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1).otherwise(0)
+    found = folded.select("id", "weight", count.alias("n"), F.explode(F.concat(F.array(F.lit("")), T.index_terms("t"))).alias("term"))
+    wanted = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([("",)], "term string"))
+    size = F.when(F.col("term") == "", F.col("n")).otherwise(F.col("weight"))
+    return semi_join_sized(found, wanted, "term").groupBy("id", "term").agg(F.sum(size).alias("tf"))
 
 
-def scored_hits(docs: DataFrame, queries: DataFrame, visible: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score) of all matches by BM25. Statistics cover all of ``docs``; ``visible`` (id) limits the hits only.
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, visible: DataFrame | None = None) -> DataFrame:
+    """(qid, id, score, rank): the k best matches of each query by BM25.
+
+    Statistics cover all of ``docs``; ``visible`` (id) limits the hits only. A term
+    that more than half of the documents have keeps the small weight 1e-6.
 
-    Postings are laid out by document, the compiled queries come to them: their
-    number is checked before they are broadcast. So what a query finds in a
-    document is summed where the document is, and no match is shuffled before
-    the k best of a partition are taken.
+    Queries and documents are numbered (documents in the order of their ids, by
+    which ties are broken), so that matches are pairs of numbers. Postings are
+    laid out by document, the compiled queries come to them: their number is
+    checked before they are broadcast. So what a query finds in a document is
+    summed where the document is, and no match is shuffled before the k best of
+    a partition are taken.
     """
     base = scratch_dir(docs.sparkSession)
-    asked = materialize(compiled(queries), f"{base}/asked")
-    tf, lengths = postings(docs, asked)
-    tf = materialize(tf, f"{base}/tf")
-    lengths = materialize(lengths, f"{base}/lengths")
+    named = materialize(queries.select("qid", "query").withColumn("q", F.monotonically_increasing_id()), f"{base}/queries")
+    asked = materialize(compiled(named.select(F.col("q").alias("qid"), "query")), f"{base}/asked")
+    every = materialize(postings(docs, asked), f"{base}/tf")
+    tf, lengths = every.where("term <> ''"), every.where("term = ''").select("id", F.col("tf").alias("length"))
+    ordered = lengths.repartitionByRange("id").sortWithinPartitions("id").withColumn("d", F.monotonically_increasing_id())
+    lengths = materialize(ordered, f"{base}/lengths")
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats))
@@ -80,7 +91,7 @@ def scored_hits(docs: DataFrame, queries: DataFrame, visible: DataFrame | None =
     wanted = materialize(asked.join(idf, "term"), f"{base}/wanted")
     last = wanted.agg(F.max("pos")).first()[0]
     by_doc = lengths if visible is None else lengths.join(visible.select("id"), "id", "left_semi")
-    by_doc = tf.join(by_doc, "id")
+    by_doc = tf.join(by_doc, "id").select("term", "tf", "length", F.col("d").alias("id")).repartition("id")
     met = join_sized(by_doc, wanted, "term")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / norm
@@ -90,15 +101,9 @@ def scored_hits(docs: DataFrame, queries: DataFrame, visible: DataFrame | None =
     matched = F.col("whole")
     for m in range(len(masks)):
         matched = matched | F.coalesce(F.col(f"m{m}").bitwiseAND(F.shiftrightunsigned(f"m{m}", 1)) != 0, F.lit(False))
-    return hits.where(matched).select("qid", "id", "score")
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, visible: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score, rank): the k best matches of each query.
-
-    A term that more than half of the documents have keeps the small weight 1e-6.
-    """
-    return top(scored_hits(docs, queries, visible), k)
+    best = top(hits.where(matched).select("qid", "id", "score"), k)
+    best = best.join(named.select(F.col("q"), F.col("qid").alias("_qid")), best.qid == F.col("q")).join(lengths.select("d", F.col("id").alias("_id")), best.id == F.col("d"))
+    return best.select(F.col("_qid").alias("qid"), F.col("_id").alias("id"), "score", "rank")
 
 
 def top(hits: DataFrame, k: int) -> DataFrame:
