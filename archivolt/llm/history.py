@@ -343,34 +343,39 @@ def check(history: History, items: DataFrame, classes: int | None = None, greedy
     n = xs.count() if classes is None else classes
     x, y, longs = F.col("a.cls").alias("x"), F.col("b.cls").alias("y"), [F.col(f"a.{s}") for s in _LONGS]
     met = _in_batch(key_rows(xs, "cls", "runs", *_LONGS)).withColumn("old", F.lit(False))
-    wide = 0
     if history.runs and n:
         keyed = key_rows(xs, "row")
         rows = history.keys().where(history.zones(keyed.select("key"), n * KEYS))
-        placed, count = _counted(history.place(keyed).drop("key"), f"{folder}/placed", wide=F.col("wide"))
-        wide = count["wide"]
+        placed = history.place(keyed).drop("key")
         blocks = rows.select("cls", "runs", *_HALF, "run", F.explode(F.array(*[F.col("block") + i for i in (-1, 0, 1)])).alias("block")).alias("b")
         around = placed.select("row", "run", "block").join(F.broadcast(xs.select("row", "cls", "runs", *_LONGS)), "row")  # rows of one slice
         around = (F.broadcast(around) if n * KEYS * len(history.runs) <= PLACED_ROWS else around).alias("a")
         seen = blocks.join(around, (F.col("a.run") == F.col("b.run")) & (F.col("a.block") == F.col("b.block")) & _alike_sketches())
         met = met.unionByName(seen.select(x, y, *longs).withColumn("old", F.lit(True)))
-
-    def linked(pairs: DataFrame, name: str) -> tuple[DataFrame, dict]:
-        pairs, got = _counted(pairs.distinct(), f"{folder}/{name}", n=F.lit(True), old=F.col("old"))
+        # a class whose window doesn't hold all rows of a key comes out without a partner
+        beyond = placed.where("wide").select("row").join(F.broadcast(xs.select("row", F.col("cls").alias("x"))), "row").select("x")
+        met = met.unionByName(beyond.withColumn("old", F.lit(True)), allowMissingColumns=True)
+
+    def linked(pairs: DataFrame, name: str) -> tuple[DataFrame, int, DataFrame | None]:
+        pairs, got = _counted(pairs.distinct(), f"{folder}/{name}", n=F.col("y").isNotNull(), old=F.col("old") & F.col("y").isNotNull(), wide=F.col("y").isNull())
+        wide = pairs.where("y is null").select(F.col("x").alias("cls")) if got["wide"] else None
+        pairs = pairs.where("y is not null")
         held = history.rows("class", history.touched(pairs.where("old"), "y", got["old"])).select("cls", F.lit(True).alias("old"), "text", *_LONGS, "low", "high", "loose")
         none = F.lit(None).cast("string")
         own = xs.select("cls", F.lit(False).alias("old"), "text", *_LONGS, none.alias("low"), none.alias("high"), F.lit(None).cast("boolean").alias("loose"))
-        return _counted(_exact(pairs, got["n"], xs, held.unionByName(own)), f"{folder}/{name}_links", new=~F.col("old"))
+        out, new = _counted(_exact(pairs, got["n"], xs, held.unionByName(own)), f"{folder}/{name}_links", new=~F.col("old"))
+        release(history.spark)
+        return out, new["new"], wide
 
-    links, got = linked(met, "met")
-    if wide:  # hot keys: the rest of the rows beyond the window, for classes that the window doesn't show to be cases
+    links, new_links, wide = linked(met, "met")
+    if wide is not None:  # hot keys: the rest of the rows beyond the window, for classes that the window doesn't show to be cases
         shown = links.where("old").groupBy("x").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("loose").alias("loose"))
         shown = shown.where("loose or low <> high").select(F.col("x").alias("cls"))
-        asking = key_rows(xs.join(placed.where("wide").select("row").distinct(), "row").join(shown, "cls", "left_anti"), "cls", "runs", *_LONGS)
+        asking = key_rows(xs.join(wide, "cls", "left_semi").join(shown, "cls", "left_anti"), "cls", "runs", *_LONGS)
         asking = asking.withColumn("key", _prefix("key"))
         asking = (F.broadcast(asking) if n * KEYS <= PLACED_ROWS else asking).alias("a")
         rest = rows.select("cls", "runs", *_HALF, _prefix("key").alias("key")).alias("b").join(asking, (F.col("a.key") == F.col("b.key")) & _alike_sketches())
-        more, _ = linked(rest.select(x, y, *longs).withColumn("old", F.lit(True)), "rest")
+        more, _, _ = linked(rest.select(x, y, *longs).withColumn("old", F.lit(True)), "rest")
         links = links.unionByName(more)
 
     base = items.select("item_id", "cls", "path", "hash")
@@ -382,7 +387,7 @@ def check(history: History, items: DataFrame, classes: int | None = None, greedy
     state = base.join(shown, "cls", "left").join(known, "hash", "left").select(*base.columns, old.alias("old"))
     new = links.where("not old").select("x", "y")
     both = new.unionByName(new.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    if got["new"] <= greedy_links:
+    if new_links <= greedy_links:
         near = both.groupBy(F.col("x").alias("cls")).agg(F.collect_list("y").alias("near"))
         out = state.join(near, "cls", "left").withColumn("slice", F.lit(0)).groupBy("slice").applyInArrow(_greedy, "item_id bigint, case boolean")
     else:
