@@ -238,3 +238,12 @@ def test_subjects_of_a_small_language_beside_a_large_vocabulary(spark):
     got = subjects.subjects(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), labels, areas)
     found = {(r.doc_id, r.area) for r in got.where("doc_id >= 1040").collect()}
     assert found == {(1000 + i, ("cooking", "weather")[i % 2]) for i in range(40, 80)}
+
+
+def test_subjects_against_given_labels(spark):
+    """Neighbours of a leaf must not outweigh its own labels."""
+    docs, labels, areas = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "subject_labels", "subject_areas"))
+    given = {(r.doc_id, r.area) for r in labels.collect()}
+    mine = labels.select("doc_id").distinct()
+    found = {(r.doc_id, r.area) for r in subjects.subjects(docs, labels, areas).join(mine, "doc_id").collect()}
+    assert len(found & given) >= 0.85 * len(given) and len(found & given) >= 0.9 * len(found)
