@@ -247,3 +247,19 @@ def test_subjects_against_given_labels(spark):
     mine = labels.select("doc_id").distinct()
     found = {(r.doc_id, r.area) for r in subjects.subjects(docs, labels, areas).join(mine, "doc_id").collect()}
     assert len(found & given) >= 0.85 * len(given) and len(found & given) >= 0.9 * len(found)
+
+
+def test_no_document_is_left_out_of_the_leaves(spark, monkeypatch):
+    """Term vectors and k-means get every document, alone or in a weighted mean."""
+    x = np.repeat(np.eye(8, dtype=np.float32), [1, 1, 1, 37, 40, 50, 60, 70], axis=0)
+    means, weight = subjects._means(x, 4)
+    assert weight.sum() == len(x) and np.allclose((means * weight[:, None]).sum(axis=0), x.sum(axis=0)) and len(means) <= len(x) // 4
+    assert sum(len(b) for b in subjects._blocks(iter([x] * 5), 300)) == 5 * len(x)
+    seen = []
+    fit = subjects.BisectingKMeans.fit
+    monkeypatch.setattr(subjects.BisectingKMeans, "fit", lambda self, df: (seen.append(df.agg({"weight": "sum"}).first()[0]), fit(self, df))[1])
+    monkeypatch.setattr(subjects, "WHOLE_DOCS", 100)
+    docs = spark.createDataFrame([(i, " ".join(f"word{chr(97 + i % 7)}{chr(97 + k)}" for k in range(9)) + ".", "en") for i in range(400)], "doc_id bigint, text string, lang string")
+    areas, labels = spark.createDataFrame([("law",)], "area string"), spark.createDataFrame([(0, "law")], "doc_id bigint, area string")
+    subjects.subjects(docs, labels, areas).count()
+    assert seen == [400]
