@@ -14,12 +14,15 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from archivolt.functions import text as T
 from archivolt.functions.text import index_text
-from archivolt.session import join_sized, materialize, scratch_dir, semi_join_sized
+from archivolt.session import join_sized, list_folder, materialize, scratch_dir, semi_join_sized
 
 _CJK = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uac00-\ud7af"
 
@@ -132,53 +135,80 @@ def like(docs: DataFrame, terms: list[str]) -> DataFrame:
 def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 10, least: float = -2.0, query_block: int = 2048, vector_block: int = 8192) -> DataFrame:
     """(qid, id, score, rank): the k most similar other rows of ``vectors`` (id, embedding) for each of ``queries`` (id, embedding), above ``least``.
 
-    Both sides are cut by hash into blocks of bounded size; a tile is a block of
-    each, one matrix product, and the tiles' k best are merged. No block passes
-    through the driver.
+    The vectors are written once to the shared folder, in the order of their ids;
+    each block of queries is one group, which reads them block by block and keeps
+    the k best of each query. So neither vectors nor candidates are repeated in a
+    shuffle, and no block passes through the driver.
     """
-    n_q, n_v = queries.count(), vectors.count()
-    q_blocks, v_blocks = max(1, -(-n_q // query_block)), max(1, -(-n_v // vector_block))
-    q = queries.where("embedding is not null").select("id", "embedding", F.lit(True).alias("asks"), F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("i"))
-    q = q.select("id", "embedding", "asks", "i", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).alias("j"))
-    v = vectors.where("embedding is not null").select("id", "embedding", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.lit(v_blocks)).cast("int").alias("j"))
-    v = v.select("id", "embedding", "asks", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("i"), "j")
+    spark = queries.sparkSession
+    n_q = queries.count()
+    blocks = max(1, -(-n_q // query_block), min(n_q // 64, 2 * spark.sparkContext.defaultParallelism))
+    path = f"{scratch_dir(spark)}/vectors"
+    held = vectors.where("embedding is not null").select("id", "embedding")
+    materialize(held.repartitionByRange("id").sortWithinPartitions("id"), path)
+    files = sorted(f"{path}/{n}" for n in list_folder(spark, path) if n.endswith(".parquet"))  # numbered in the order of ids
+    q = queries.where("embedding is not null").select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("i"))
     qid, vid = queries.schema["id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
-    same = qid == vid
-    if not same:
-        q, v = q.withColumn("id", F.col("id").cast("string")), v.withColumn("id", F.col("id").cast("string"))
 
     def unit(column):
         x = column.combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
-    def tile(group: pa.Table) -> pa.Table:
-        asks = group.column("asks")
-        a, b = group.filter(asks), group.filter(pc.invert(asks))
-        empty = pa.table({"qid": a.column("id").slice(0, 0), "id": b.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
-        if not a.num_rows or not b.num_rows:
-            return empty
-        b = b.sort_by("id")  # of equal scores the smaller id comes first
-        qs, vs = unit(a.column("embedding")), unit(b.column("embedding"))
-        own = pc.index_in(a.column("id"), b.column("id")).combine_chunks()
-        out = []
-        for at in range(0, len(qs), 256):
-            s = np.round(qs[at : at + 256] @ vs.T, 6)
-            me = own.slice(at, 256).to_numpy(zero_copy_only=False).astype(float)
-            mine = np.flatnonzero(~np.isnan(me))
-            s[mine, me[mine].astype(int)] = -9
-            floor = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -8.0)
-            i, j = np.nonzero((s >= floor[:, None]) & (s > least))
-            order = np.lexsort((j, -s[i, j], i))
-            i, j = i[order], j[order]
-            first = np.arange(len(i)) - np.searchsorted(i, i) < k
-            i, j = i[first], j[first]
-            out.append(pa.table({"qid": a.column("id").take(pa.array(i + at)), "id": b.column("id").take(pa.array(j)), "score": pa.array(s[i, j])}))
-        return pa.concat_tables(out)
-
-    kind = q.schema["id"].dataType.simpleString()
-    found = q.unionByName(v).groupBy("i", "j").applyInArrow(tile, f"qid {kind}, id {kind}, score double")
-    found = found.select(F.col("qid").cast(qid), F.col("id").cast(vid), "score")
-    return top(found, k)
+    def stored():
+        for name in files:
+            system, at = (fs.LocalFileSystem(), name) if name.startswith("/") else fs.FileSystem.from_uri(name)
+            with system.open_input_file(at) as f:
+                for b in pq.ParquetFile(f).iter_batches(vector_block, columns=["id", "embedding"]):
+                    yield pa.Table.from_batches([b])
+
+    def search(group: pa.Table) -> pa.Table:
+        ids = group.column("id").combine_chunks()
+        qs = unit(group.column("embedding"))
+        n = len(qs)
+        low = qs.astype(np.float32)
+        full = np.zeros(n, bool)
+        floor = np.full(n, least)  # what a later row must exceed: of equal scores the smaller id comes first
+        rows, scores, names = np.empty(0, np.int64), np.empty(0), pa.array([], held_kind)
+        for b in stored():
+            vs = unit(b.column("embedding"))
+            low_v = vs.astype(np.float32).T
+            other = b.column("id").combine_chunks()
+            own = pc.index_in(ids.cast(pa.string()), other.cast(pa.string())).to_numpy(zero_copy_only=False).astype(float)
+            found = []
+            for at in range(0, n, 256):
+                s = low[at : at + 256] @ low_v
+                me = own[at : at + 256]
+                mine = np.flatnonzero(~np.isnan(me))
+                s[mine, me[mine].astype(int)] = -9
+                edge = floor[at : at + 256] - 1e-4  # beyond the error of single precision
+                if s.shape[1] > k and not full[at : at + 256].all():
+                    edge = np.maximum(edge, np.partition(s, -k, axis=1)[:, -k] - 2e-4)
+                i, j = np.nonzero((s > edge[:, None]) & (s > -8))
+                exact = np.empty(len(i))
+                for c in range(0, len(i), 8192):
+                    exact[c : c + 8192] = np.einsum("ij,ij->i", qs[at + i[c : c + 8192]], vs[j[c : c + 8192]])
+                exact = np.round(exact, 6)
+                keep = exact > floor[at + i]
+                found.append((at + i[keep], exact[keep], j[keep]))
+            i, s, j = (np.concatenate(x) for x in zip(*found))
+            if not len(i):
+                continue
+            rows, scores = np.concatenate((rows, i)), np.concatenate((scores, s))
+            names = pa.concat_arrays([names, other.take(pa.array(j))])
+            order = np.lexsort((np.arange(len(rows)), -scores, rows))  # places follow the ids
+            ranked = rows[order]
+            place = np.arange(len(ranked)) - np.searchsorted(ranked, ranked)
+            last = order[place == k - 1]
+            floor[rows[last]], full[rows[last]] = scores[last], True
+            order = np.sort(order[place < k])
+            rows, scores, names = rows[order], scores[order], names.take(pa.array(order))
+        order = np.lexsort((np.arange(len(rows)), -scores, rows))
+        ranked = rows[order]
+        place = np.arange(len(ranked)) - np.searchsorted(ranked, ranked) + 1
+        return pa.table({"qid": ids.take(pa.array(ranked)), "id": names.take(pa.array(order)), "score": pa.array(scores[order]), "rank": pa.array(place.astype(np.int32))})
+
+    held_kind = to_arrow_type(vectors.schema["id"].dataType)
+    return q.repartition(2 * blocks, "i").groupBy("i").applyInArrow(search, f"qid {qid}, id {vid}, score double, rank int")
 
 
 def hashed_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = 512, cap: int = 8192, digest: str = "blake2b", unit: bool = True) -> DataFrame:

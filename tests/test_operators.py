@@ -306,3 +306,14 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         scratch_dir(Session)
+
+
+def test_vectors_and_candidates_are_not_repeated(spark):
+    """Many blocks repeat neither vectors nor candidates in a shuffle; ties at the k-th place go to the smaller id in any block."""
+    v = spark.createDataFrame([(i, [1.0, float(i % 3), 0.0]) for i in range(200)] + [(900, None)], "id bigint, embedding array<float>")
+    got = R.cosine_top(v.where("id < 30"), v, 4, query_block=7, vector_block=10)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+    for r in got.groupBy("qid").agg({"id": "collect_list"}).collect():
+        assert sorted(r[1]) == [i for i in range(r.qid % 3, 200, 3) if i != r.qid][:4]
+    assert R.cosine_top(v.where("id < 3"), v.where("id > 900"), 4).count() == 0
