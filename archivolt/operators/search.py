@@ -1,8 +1,8 @@
 """Batch retrieval: BM25 over weighted fields, phrases, LIKE fallback, cosine, fusion, suppression.
 
-Queries are a DataFrame (qid, query). Postings are grouped per query term only:
-the corpus is scanned once, tokens that no query asks for are dropped before
-the shuffle, and hits are ranked per query with WindowGroupLimit.
+Queries are a DataFrame (qid, query). Postings are held for terms of queries only:
+the corpus is scanned once, tokens that no query asks for never leave their task,
+and each block of queries keeps its best hits while it reads the postings.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from archivolt.functions import text as T
 from archivolt.functions.text import index_text
-from archivolt.session import join_sized, list_folder, materialize, scratch_dir, semi_join_sized
+from archivolt.session import list_folder, materialize, scratch_dir
 
 _CJK = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uac00-\ud7af"
 
@@ -50,63 +50,283 @@ def compiled(queries: DataFrame) -> DataFrame:
     return whole.distinct().unionByName(pairs.select("qid", "term", (F.col("start") + F.col("at")).cast("int").alias("pos"), F.lit(True).alias("pair")))
 
 
-def postings(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(id, term, tf) of the asked terms, weighted by field; the empty term holds the number of all tokens.
+class _Asked:
+    """Numbers of the terms that queries ask for, found in folded texts.
 
-    The texts are folded once (the generators keep the optimizer from repeating
-    it); a term that no query asks for leaves no row. Documents are spread by id
-    before they are cut, so that terms are counted where they are.
+    Runs of up to three CJK characters are numbers as they stand; other terms are
+    found by a hash and compared character by character.
     """
-    fields = F.array(*[F.struct(F.lit(w).alias("weight"), F.col(f).alias("text")) for f, w in WEIGHTS.items()])
-    each = docs.select("id", *WEIGHTS).repartition("id").select("id", F.explode(fields).alias("f"))
-    folded = each.select("id", F.col("f.weight").alias("weight"), F.explode(F.array(index_text("f.text"))).alias("t"))
-    count = F.when(F.col("t") != "", F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1).otherwise(0)
-    found = folded.select("id", "weight", count.alias("n"), F.explode(F.concat(F.array(F.lit("")), T.index_terms("t"))).alias("term"))
-    wanted = asked.select("term").distinct().unionByName(asked.sparkSession.createDataFrame([("",)], "term string"))
-    size = F.when(F.col("term") == "", F.col("n")).otherwise(F.col("weight"))
-    return semi_join_sized(found, wanted, "term").groupBy("id", "term").agg(F.sum(size).alias("tf"))
 
+    def __init__(self, terms: list[str]):
+        self.cjk = np.zeros(0x110000, bool)
+        for low, high in re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", T.CJK):
+            self.cjk[int(low, 16) : int(high, 16) + 1] = True
+        codes = [np.array([ord(x) for x in t if x != " "], np.uint32) for t in terms]
+        run = np.array([self.cjk[c].all() and len(c) <= 3 for c in codes], bool)
+        self.run_of = np.flatnonzero(run)
+        keys = np.array([sum(int(x) << 21 * i for i, x in enumerate(codes[j])) for j in self.run_of], np.uint64)
+        self.runs = self._index(keys)
+        self.word_of = np.flatnonzero(~run)
+        words = [codes[j] for j in self.word_of]
+        self.size = np.array([len(c) for c in words], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.codes = np.concatenate([np.empty(0, np.uint32), *words])
+        self.factor = 0x9E3779B97F4A7C15
+        while len(np.unique(hashes := self.hashed(self.codes, self.first, self.size))) < len(words):
+            self.factor += 2
+        self.words = self._index(hashes)
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(44)
+
+    def _index(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(keys)
+        some = np.zeros(1 << 20, bool)
+        some[self._slot(keys)] = True
+        return keys[order], order, some
+
+    def _found(self, index: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``keys`` are in the index, and at which place."""
+        held, order, some = index
+        at = np.flatnonzero(some[self._slot(keys)])
+        if not len(at):
+            return at, at
+        near = np.minimum(np.searchsorted(held, keys[at]), len(held) - 1)
+        same = held[near] == keys[at]
+        return at[same], order[near[same]]
+
+    def hashed(self, c: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        if not len(first):
+            return np.empty(0, np.uint64)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        powers = np.full(size.max(), self.factor, np.uint64)
+        powers[0] = 1
+        powers = np.cumprod(powers, dtype=np.uint64)
+        return np.add.reduceat(c[np.repeat(first, size) + place].astype(np.uint64) * powers[place], np.cumsum(size) - size)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term) of every asked term that occurs, as often as it does; the number of tokens of each text."""
+        c = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        gap = (c == 32) | (c == 10)
+        edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=1, append=1))
+        first, size = edge[::2], edge[1::2] - edge[::2]
+        text = np.searchsorted(np.flatnonzero(c == 10), first)
+        cjk = self.cjk[c[first]] & (size == 1)
+        own, terms = [], []
+        at = np.flatnonzero(cjk)
+        key = c[first[at]].astype(np.uint64)
+        for k in range(3):
+            if k:  # the token k places on goes on with the run
+                on = at + k < len(first)
+                on[on] = cjk[at[on] + k] & (text[at[on] + k] == text[at[on]])
+                at, key = at[on], key[on]
+                key = key | c[first[at + k]].astype(np.uint64) << np.uint64(21 * k)
+            i, j = self._found(self.runs, key)
+            own.append(text[at[i]])
+            terms.append(self.run_of[j])
+        at = np.flatnonzero(~cjk)
+        i, j = self._found(self.words, self.hashed(c, first[at], size[at]))
+        at = at[i]
+        same = size[at] == self.size[j]
+        at, j = at[same], j[same]
+        if len(at):
+            n = self.size[j]
+            ends = np.cumsum(n) - n
+            place = np.arange(n.sum()) - np.repeat(ends, n)
+            same = np.logical_and.reduceat(c[np.repeat(first[at], n) + place] == self.codes[np.repeat(self.first[j], n) + place], ends)
+            own.append(text[at[same]])
+            terms.append(self.word_of[j[same]])
+        return np.concatenate(own), np.concatenate(terms), np.bincount(text, minlength=len(texts))
+
+
+def _tables(files: list[str], columns: list[str]):
+    """The Parquet files of a shared folder, read within a task."""
+    for name in files:
+        system, at = (fs.LocalFileSystem(), name) if name.startswith("/") else fs.FileSystem.from_uri(name)
+        with system.open_input_file(at) as f:
+            yield pq.ParquetFile(f).read(columns=columns)
+
+
+def _files(spark, path: str) -> list[str]:
+    return sorted(f"{path}/{n}" for n in list_folder(spark, path) if n.endswith(".parquet"))
+
+
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary value for each part of ``values``."""
+    return pa.array([values[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)], pa.binary())
+
+
+def postings(docs: DataFrame, numbered: DataFrame, terms: list[str], blocks: int) -> DataFrame:
+    """(t, df, size, docs, tf): the postings of each asked term in each block of documents; t -1 for the documents themselves.
+
+    ``numbered`` is (id, d, seen), ``terms`` the files of (term, t). A partition is a block; its visible documents are
+    numbered in the order of ``d``. ``docs`` and ``tf`` hold four-byte numbers of the visible ones and weighted counts,
+    ``df`` counts all. Of t -1 they hold d (eight bytes) and the tokens of each; ``size`` is the number of all tokens.
+    Only asked terms leave a task, as one row for each term.
+    """
+    weights = np.array(list(WEIGHTS.values()), np.int64)
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, visible: DataFrame | None = None) -> DataFrame:
+    def work(batches):
+        names = pa.concat_tables(_tables(terms, ["term", "t"]))
+        asked = _Asked(names.take(pc.sort_indices(names.column("t"))).column("term").to_pylist())
+        d, seen, length, at, of, tf = [np.empty(0, np.int64)], [np.empty(0, bool)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        before = 0
+        for whole in batches:
+            for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                fields = [b.column(2 + i).to_pylist() for i in range(len(weights))]
+                text, term, n = asked([t for row in zip(*fields) for t in row])
+                key, inverse = np.unique((text // len(weights)) << 32 | term, return_inverse=True)
+                d.append(b.column(0).to_numpy())
+                seen.append(b.column(1).to_numpy(zero_copy_only=False))
+                length.append(n.reshape(-1, len(weights)).sum(axis=1))
+                at.append((key >> 32) + before)
+                of.append(key & 0xFFFFFFFF)
+                tf.append(np.bincount(inverse, weights[text % len(weights)], len(key)).astype(np.int64))
+                before += b.num_rows
+        d, seen, length, at, of, tf = (np.concatenate(x) for x in (d, seen, length, at, of, tf))
+        if not len(d):
+            return
+        # rows of one id are one document
+        d, first, inverse = np.unique(d, return_index=True, return_inverse=True)
+        seen, length = seen[first], np.bincount(inverse, length).astype(np.int32)
+        key, place = np.unique(of << 32 | inverse[at], return_inverse=True)
+        tf = np.bincount(place, tf, len(key)).astype(np.int32)
+        of, at = key >> 32, key & 0xFFFFFFFF
+        t, start = np.unique(of, return_index=True)
+        df = np.diff(start, append=len(of))
+        shown = seen[at]
+        ends = np.concatenate(([0], np.cumsum(shown)))[start + df]
+        at, tf = (np.cumsum(seen) - 1)[at[shown]].astype(np.int32), tf[shown]
+        names = ["t", "df", "size", "docs", "tf"]
+        own = [[-1], [len(d)], [int(length.sum())], [d[seen].tobytes()], [length[seen].tobytes()]]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(own, kinds)], names=names)
+        for i in range(0, len(t), 4096):
+            j = slice(i, i + 4096)
+            low = ends[i - 1] if i else 0
+            parts = [pa.array(t[j].astype(np.int32)), pa.array(df[j].astype(np.int32)), pa.nulls(len(t[j]), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*parts, _packed(at[low:], ends[j] - low), _packed(tf[low:], ends[j] - low)], names=names)
+
+    folded = [index_text(f).alias(f) for f in WEIGHTS]
+    rows = docs.select("id", *WEIGHTS).repartition(blocks, "id").join(numbered.repartition(blocks, "id"), "id")
+    return rows.select("d", "seen", *folded).mapInArrow(work, "t int, df int, size bigint, docs binary, tf binary")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, visible: DataFrame | None = None, query_block: int = 8192, doc_block: int = 65536) -> DataFrame:
     """(qid, id, score, rank): the k best matches of each query by BM25.
 
     Statistics cover all of ``docs``; ``visible`` (id) limits the hits only. A term
     that more than half of the documents have keeps the small weight 1e-6.
 
-    Queries and documents are numbered (documents in the order of their ids, by
-    which ties are broken), so that matches are pairs of numbers. Postings are
-    laid out by document, the compiled queries come to them: their number is
-    checked before they are broadcast. So what a query finds in a document is
-    summed where the document is, and no match is shuffled before the k best of
-    a partition are taken.
+    Queries, terms and documents are numbered (documents in the order of their ids,
+    by which ties are broken). The postings are written once, a file for each block
+    of documents; each block of queries is one group, which reads them file by file
+    and keeps the k best of each query. So matches, whose number grows with queries
+    times documents, are neither shuffled nor sorted nor written.
     """
-    base = scratch_dir(docs.sparkSession)
+    spark = docs.sparkSession
+    base = scratch_dir(spark)
     named = materialize(queries.select("qid", "query").withColumn("q", F.monotonically_increasing_id()), f"{base}/queries")
     asked = materialize(compiled(named.select(F.col("q").alias("qid"), "query")), f"{base}/asked")
-    every = materialize(postings(docs, asked), f"{base}/tf")
-    tf, lengths = every.where("term <> ''"), every.where("term = ''").select("id", F.col("tf").alias("length"))
-    ordered = lengths.repartitionByRange("id").sortWithinPartitions("id").withColumn("d", F.monotonically_increasing_id())
-    lengths = materialize(ordered, f"{base}/lengths")
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
+    terms = materialize(asked.select("term").distinct().coalesce(1).withColumn("t", F.monotonically_increasing_id().cast("int")), f"{base}/terms")
+    ids = docs.select("id").distinct()
+    if visible is not None:
+        ids = ids.join(visible.select("id").distinct().withColumn("seen", F.lit(True)), "id", "left")
+    seen = F.lit(True) if visible is None else F.col("seen").isNotNull()
+    ids = ids.select("id", seen.alias("seen")).repartitionByRange("id").sortWithinPartitions("id").withColumn("d", F.monotonically_increasing_id())
+    ids = materialize(ids, f"{base}/ids")
+    parallel = spark.sparkContext.defaultParallelism
+    held = f"{base}/postings"
+    every = materialize(postings(docs, ids, _files(spark, f"{base}/terms"), max(parallel, -(-ids.count() // doc_block))), held)
+    files = _files(spark, held)
+    stats = every.where("t = -1").agg(F.sum("df").alias("n"), (F.sum("size") / F.sum("df")).alias("avg_length"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats))
-    idf = idf.select("term", "avg_length", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"))
-    wanted = materialize(asked.join(idf, "term"), f"{base}/wanted")
-    last = wanted.agg(F.max("pos")).first()[0]
-    by_doc = lengths if visible is None else lengths.join(visible.select("id"), "id", "left_semi")
-    by_doc = tf.join(by_doc, "id").select("term", "tf", "length", F.col("d").alias("id")).repartition("id")
-    met = join_sized(by_doc, wanted, "term")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    # places of pairs as bits, a mask for every 62 places; neighbouring masks share one place
-    masks = [F.bit_or(F.when(F.col("pair") & F.col("pos").between(m * 62, m * 62 + 62), F.expr(f"shiftleft(1L, pos - {m * 62})"))).alias(f"m{m}") for m in range((last or 0) // 62 + 1)]
-    hits = met.groupBy("qid", "id").agg(F.round(F.sum(part), 6).alias("score"), F.max(~F.col("pair")).alias("whole"), *masks)
-    matched = F.col("whole")
-    for m in range(len(masks)):
-        matched = matched | F.coalesce(F.col(f"m{m}").bitwiseAND(F.shiftrightunsigned(f"m{m}", 1)) != 0, F.lit(False))
-    best = top(hits.where(matched).select("qid", "id", "score"), k)
-    best = best.join(named.select(F.col("q"), F.col("qid").alias("_qid")), best.qid == F.col("q")).join(lengths.select("d", F.col("id").alias("_id")), best.id == F.col("d"))
-    return best.select(F.col("_qid").alias("qid"), F.col("_id").alias("id"), "score", "rank")
+    idf = every.where("t >= 0").groupBy("t").agg(F.sum("df").alias("df")).join(F.broadcast(stats))
+    idf = idf.select("t", "avg_length", F.when(raw > 0, raw).otherwise(1e-6).alias("idf"))
+    n_q = named.count()
+    groups = max(1, -(-n_q // query_block), min(n_q // 64, 2 * parallel))
+    wanted = asked.join(terms, "term").join(idf, "t").select(F.col("qid").alias("q"), "t", "pos", "pair", "idf", "avg_length")
+    wanted = wanted.withColumn("i", F.pmod(F.xxhash64("q"), F.lit(groups)).cast("int"))
+
+    def search(group: pa.Table) -> pa.Table:
+        order = pc.sort_indices(group, [("q", "ascending"), ("pos", "ascending")])
+        q, t, pos, pair, idf, average = (group.column(c).take(order).to_numpy() for c in ("q", "t", "pos", "pair", "idf", "avg_length"))
+        q, begin, query = np.unique(q, return_index=True, return_inverse=True)
+        end = np.append(begin[1:], len(t)).tolist()
+        begin = begin.tolist()
+        paired = np.logical_or.reduceat(pair, begin)
+        t, one, term = np.unique(t, return_index=True, return_inverse=True)
+        idf, average, pos_of, pair_of, term_of = idf[one], average[0], pos.tolist(), pair.tolist(), term.tolist()
+        floor = np.full(len(q), -1.0)  # what a match must reach
+        rows, scores, where = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        for b in _tables(files, ["t", "docs", "tf"]):
+            if not b.num_rows:
+                continue
+            number = b.column("t").to_numpy()
+            own = int(np.flatnonzero(number == -1)[0])
+            d = np.frombuffer(b.column("docs")[own].as_py(), np.int64)
+            norm = K1 * (1 - B + B * np.frombuffer(b.column("tf")[own].as_py(), np.int32) / average)
+            mine = np.flatnonzero(np.isin(number, t))
+            place = np.searchsorted(t, number[mine])
+            b = b.take(pa.array(mine))
+            held = b.column("docs").to_pylist()
+            docs_in = np.frombuffer(b"".join(held), np.int32)
+            tf = np.frombuffer(b"".join(b.column("tf").to_pylist()), np.int32)
+            n = np.array([len(x) // 4 for x in held], np.int64)
+            part = np.repeat(idf[place], n) * tf * (K1 + 1) / (tf + norm[docs_in])
+            low, high, most = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64), np.zeros(len(t))
+            low[place], high[place] = np.cumsum(n) - n, np.cumsum(n)
+            some = np.flatnonzero(n)
+            if not len(some):
+                continue
+            most[place[some]] = np.maximum.reduceat(part, (np.cumsum(n) - n)[some])
+            found = []
+            low, high = low.tolist(), high.tolist()
+            total, met, last = np.zeros(len(d)), np.zeros(len(d), bool), np.full(len(d), -9, np.int64)
+            reach = np.bincount(query, most[term], len(q))
+            for i in np.flatnonzero((reach > 0) & (reach + 1e-5 >= floor)).tolist():
+                if end[i] - begin[i] == 1 and not paired[i]:
+                    j = term_of[begin[i]]
+                    at, s = docs_in[low[j] : high[j]], part[low[j] : high[j]]
+                else:
+                    for r in range(begin[i], end[i]):
+                        j = term_of[r]
+                        at = docs_in[low[j] : high[j]]
+                        total[at] += part[low[j] : high[j]]
+                        if paired[i]:  # a place that follows another one, or a term that stands for itself
+                            met[at[last[at] == pos_of[r] - 1] if pair_of[r] else at] = True
+                            if pair_of[r]:
+                                last[at] = pos_of[r]
+                    at = np.flatnonzero(total > max(floor[i] - 1e-5, 0))
+                    if paired[i]:
+                        at = at[met[at]]
+                        met[:], last[:] = False, -9
+                    s = total[at]
+                    total[:] = 0
+                s = np.round(s, 6)
+                least = floor[i] if len(s) <= k else max(floor[i], np.partition(s, -k)[-k])
+                keep = np.flatnonzero(s >= least)
+                if len(keep) > 2 * k:  # many equal scores: places follow the ids
+                    keep = keep[np.lexsort((keep, -s[keep]))[:k]]
+                if len(keep):
+                    found.append((np.full(len(keep), i), s[keep], d[at[keep]]))
+            if not found:
+                continue
+            i, s, at = (np.concatenate(x) for x in zip(*found))
+            rows, scores, where = np.concatenate((rows, i)), np.concatenate((scores, s)), np.concatenate((where, at))
+            order = np.lexsort((where, -scores, rows))
+            rows, scores, where = rows[order], scores[order], where[order]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            full = np.flatnonzero(rank == k - 1)
+            floor[rows[full]] = scores[full]
+            rows, scores, where = (x[rank < k] for x in (rows, scores, where))
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+        return pa.table({"q": pa.array(q[rows]), "d": pa.array(where), "score": pa.array(scores), "rank": pa.array(rank.astype(np.int32))})
+
+    best = wanted.repartition(2 * groups, "i").groupBy("i").applyInArrow(search, "q bigint, d bigint, score double, rank int")
+    best = materialize(best, f"{base}/best")  # suppression and fusion read it more than once
+    return best.join(named.select("q", "qid"), "q").join(ids.select("d", "id"), "d").select("qid", "id", "score", "rank")
 
 
 def top(hits: DataFrame, k: int) -> DataFrame:
@@ -146,7 +366,7 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 10, least: float
     path = f"{scratch_dir(spark)}/vectors"
     held = vectors.where("embedding is not null").select("id", "embedding")
     materialize(held.repartitionByRange("id").sortWithinPartitions("id"), path)
-    files = sorted(f"{path}/{n}" for n in list_folder(spark, path) if n.endswith(".parquet"))  # numbered in the order of ids
+    files = _files(spark, path)  # numbered in the order of ids
     q = queries.where("embedding is not null").select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("i"))
     qid, vid = queries.schema["id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
 
