@@ -263,3 +263,10 @@ def test_no_document_is_left_out_of_the_leaves(spark, monkeypatch):
     areas, labels = spark.createDataFrame([("law",)], "area string"), spark.createDataFrame([(0, "law")], "doc_id bigint, area string")
     subjects.subjects(docs, labels, areas).count()
     assert seen == [400]
+
+
+def test_tokenizing_looks_every_character_up_once(monkeypatch):
+    """Ends of sentences come from the table of code points: no further pass over the characters for each end sign."""
+    monkeypatch.delattr(subjects.np, "isin")
+    terms, counts, sentences = subjects.tokenize(["# Head line\nOne two. Three four!five\n", None, "星云。图 (x)?\tab cd", "v1.2 works; fine"])
+    assert counts.tolist() == [2, 3, 1, 3, 2, 1, 1] and sentences.tolist() == [2, 0, 3, 2] and counts.sum() == len(terms)
