@@ -342,3 +342,25 @@ def test_bm25_terms(spark):
         got.setdefault(r.qid, set()).add(r.id)
     assert got == {"1": {"b", "c"}, "2": {"d"}, "3": {"d"}, "4": {"b"}, "6": {"b"}}
     assert R.bm25(docs, queries.limit(0)).count() == 0 and R.bm25(docs.limit(0), queries).count() == 0
+
+
+def test_release_returns_freed_native_memory(spark):
+    """What the driver freed outside the heap goes back to the system, although memory beside it is still in use."""
+    from archivolt.session import release
+
+    jvm = spark._jvm
+    status = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status"
+
+    def resident():
+        with open(status) as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("VmRSS")) // 1024
+
+    held = [jvm.java.util.zip.Deflater() for _ in range(600)]  # about 260 KB each, in pieces of 64 KB
+    for _ in range(2):
+        jvm.System.gc()
+    for d in held[:-1]:
+        d.end()
+    before = resident()
+    release(spark)
+    assert resident() < before - 30
+    held[-1].end()
