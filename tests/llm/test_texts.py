@@ -1,4 +1,5 @@
 import random
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -270,3 +271,41 @@ def test_tokenizing_looks_every_character_up_once(monkeypatch):
     monkeypatch.delattr(subjects.np, "isin")
     terms, counts, sentences = subjects.tokenize(["# Head line\nOne two. Three four!five\n", None, "星云。图 (x)?\tab cd", "v1.2 works; fine"])
     assert counts.tolist() == [2, 3, 1, 3, 2, 1, 1] and sentences.tolist() == [2, 0, 3, 2] and counts.sum() == len(terms)
+
+
+def test_kmeans_gets_partitions_by_rows(spark, monkeypatch):
+    """Each of its many jobs costs every partition a task, so few rows go in few partitions."""
+    seen = []
+    fit = subjects.BisectingKMeans.fit
+    monkeypatch.setattr(subjects.BisectingKMeans, "fit", lambda self, df: (seen.append((df.rdd.getNumPartitions(), df.count())), fit(self, df))[1])
+    text = "concat('word', char(97 + id % 13), ' thing', char(97 + id % 11), ' other', char(97 + id % 17), '.') as text"
+    docs = spark.range(400, numPartitions=7).selectExpr("id as doc_id", text, "'en' as lang")
+    areas, labels = spark.createDataFrame([("law",)], "area string"), spark.createDataFrame([(0, "law")], "doc_id bigint, area string")
+    subjects.subjects(docs, labels, areas).count()
+    monkeypatch.setattr(subjects, "FIT_ROWS", 200)
+    subjects.subjects(docs, labels, areas).count()
+    assert seen == [(1, 400), (2, 400)]
+
+
+def test_normal_form_without_the_slow_way(monkeypatch):
+    """Texts whose only other forms are compatibility forms are made plain character by character; the result is NFKC's."""
+    rng = random.Random(4)
+    pool = "ab <=.\nṇ̸́가가，＜Ａｶﾞ　…\xbdﬁ二が\U0001f600\U0002f800"
+    for _ in range(2000):
+        text = "".join(rng.choices(pool, k=rng.randrange(1, 40)))
+        assert subjects._normal(text) == unicodedata.normalize("NFKC", text)
+    sizes, normalize = [], unicodedata.normalize
+    monkeypatch.setattr(unicodedata, "normalize", lambda form, text: (sizes.append(len(text)), normalize(form, text))[1])
+    assert subjects.plain("星云，图！ﬁ" * 50) == "星云,图!fi" * 50 and max(sizes) == 1
+
+
+def test_hashes_of_runs():
+    """A run has the same hash wherever it stands, also far into a long text; distinct numbers come as np.unique has them."""
+    h = 0
+    for k, char in enumerate("kelvin"):
+        h += ord(char) * pow(0x9E3779B97F4A7C15, k, 1 << 64)
+    own = subjects._mixed(np.array([h & (1 << 64) - 1], np.uint64))[0]
+    terms, counts, n = subjects.tokenize(["Kelvin", "x a kelvin", "ab " * 400_000 + "kelvin"])
+    assert n.tolist() == [1, 1, 1] and counts.tolist() == [1, 1, 400_001] and (terms[[0, 1, -1]] == own).all() and len(set(terms[2:-1].tolist())) == 1
+    for x in ([], [5], [3, 1, 3, 2**63, 0, 2**63]):
+        assert np.array_equal(subjects._distinct(np.array(x, np.uint64)), np.unique(np.array(x, np.uint64)))
